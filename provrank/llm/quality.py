@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
             yield pd.DataFrame({"h": pdf.h, "y": pdf.y, "x": [statistics(t) for t in pdf.text]})
 
     rows = joined.select(F.xxhash64(F.lit(seed), "__id").alias("h"), "y", "text").mapInPandas(measure, "h long, y double, x array<double>")
-    rows = materialize(rows.repartition(_PARTS, "h"), "quality")
+    rows = materialize(rows.repartition(_PARTS), "quality")
 
     def moments(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, s, q, ones, few = 0, np.zeros(N_STATS), np.zeros(N_STATS), 0.0, []
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
                 few = [*few, *pdf.sort_values("h").x.head(64)][:64]
         yield pd.DataFrame({"n": [n], "s": [s], "q": [q], "ones": [ones], "few": [np.concatenate(few) if few else np.zeros(0)]})
 
-    m = rows.repartition(_PARTS, "h").sortWithinPartitions("h", "y").mapInPandas(moments, "n long, s array<double>, q array<double>, ones double, few array<double>").toPandas()
+    m = rows.coalesce(_PARTS).sortWithinPartitions("h", "y").mapInPandas(moments, "n long, s array<double>, q array<double>, ones double, few array<double>").toPandas()
     n, ones = int(m.n.sum()), float(m.ones.sum())
     mean = np.sum(np.stack(m.s), axis=0) / max(1, n)
     scale = np.sqrt(np.maximum(np.sum(np.stack(m.q), axis=0) / max(1, n) - mean**2, 0))
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
                 a, b, k = a + z.T @ z, b + z.T @ pdf.y.to_numpy(), k + len(z)
         yield pd.DataFrame({"a": [a.tobytes()], "b": [b.tobytes()], "k": [k]})
 
-    fitting = rows.where(F.abs(F.col("h")) % 4 != 0).repartition(_PARTS, "h").sortWithinPartitions("h", "y")
+    fitting = rows.where(F.abs(F.col("h")) % 4 != 0).coalesce(_PARTS).sortWithinPartitions("h", "y")
     parts = fitting.mapInPandas(normal, "a binary, b binary, k long").toPandas()
     a = sum(np.frombuffer(x).reshape(d, d) for x in parts.a)
     b = sum(np.frombuffer(x) for x in parts.b)
