@@ -16,6 +16,8 @@ from provrank.storage import materialize
 SIGNALS = ("bm25-only", "dense-only", "rrf-only", "rrf+ppr")
 #: Scores are rounded to this many decimals before ranking, as summation order differs from run to run.
 DECIMALS = 12
+#: BM25 sums reach hundreds, where a double has fewer decimals to spare.
+SIGNAL_DECIMALS = 9
 
 
 def bm25(papers: DataFrame, query: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -51,13 +53,13 @@ def dense(papers: DataFrame, vectors: DataFrame, query_vector: list[float] | Non
     return papers.select("paper_id").join(vectors.select("paper_id", dot.alias("d")), "paper_id", "left").select("paper_id", F.coalesce("d", F.lit(0.0)).alias("dense"))
 
 
-def positions(df: DataFrame, score: str, name: str, ascending_ties: str = "paper_id") -> DataFrame:
+def positions(df: DataFrame, score: str, name: str, ascending_ties: str = "paper_id", decimals: int = DECIMALS) -> DataFrame:
     """df with name, the 1-based position by score descending; ties by id.
 
     One total order over a corpus is sorted by range, numbered within each range and offset by the
     ranges' counts, so no task holds all rows.
     """
-    keyed = df.withColumn("__s", -F.round(F.col(score), DECIMALS))
+    keyed = df.withColumn("__s", -F.round(F.col(score), decimals))
     ordered = materialize(keyed.repartitionByRange("__s", ascending_ties).sortWithinPartitions("__s", ascending_ties).withColumn("__part", F.spark_partition_id()), "ordered")
     rn = F.row_number().over(Window.partitionBy("__part").orderBy("__s", ascending_ties))
     sizes = ordered.groupBy("__part").agg(F.count("*").alias("__n"))
@@ -70,7 +72,7 @@ def rrf(scored: DataFrame, columns: list[str], k: int = 60) -> DataFrame:
     """scored with a position for each score column and rrf, the sum of 1 / (k + position)."""
     out = scored
     for c in columns:
-        out = positions(out, c, f"{c}_rank")
+        out = positions(out, c, f"{c}_rank", decimals=SIGNAL_DECIMALS)
     total = F.lit(0.0)
     for c in columns:
         total = total + 1.0 / (k + F.col(f"{c}_rank"))

@@ -67,4 +67,4 @@ hit AS (SELECT paper_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 *
 bm AS (SELECT paper_id, coalesce(s, 0.0) AS bm25 FROM papers LEFT JOIN hit USING (paper_id)),
 qv AS (SELECT embedding AS q FROM embeddings WHERE 'D' || lpad(vec_id::VARCHAR, 10, '0') = (SELECT s FROM one)),
 dn AS (SELECT paper_id, coalesce(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]), 0.0) AS dense FROM papers LEFT JOIN (SELECT 'D' || lpad(vec_id::VARCHAR, 10, '0') AS paper_id, embedding, q FROM embeddings, qv) USING (paper_id)),
-fused AS (SELECT paper_id, bm25, dense, row_number() OVER (ORDER BY round(bm25, 12) DESC, paper_id) AS bm25_rank, row_number() OVER (ORDER BY round(dense, 12) DESC, paper_id) AS dense_rank FROM bm JOIN dn USING (paper_id))"""
+fused AS (SELECT paper_id, bm25, dense, row_number() OVER (ORDER BY round(bm25, 9) DESC, paper_id) AS bm25_rank, row_number() OVER (ORDER BY round(dense, 9) DESC, paper_id) AS dense_rank FROM bm JOIN dn USING (paper_id))"""
