@@ -92,12 +92,14 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     spark = train.sparkSession
     small_batches(spark)
     rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h")).where("text is not null and lang is not null")
-    n_of = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    n_langs = max(1, n_of.count())
-    each = max(8, sample_rows // n_langs)
+    # a row for each language, as the model itself has
+    n_of = {r.lang: r.n for r in train.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    each = max(8, sample_rows // max(1, len(n_of)))
     # a share of the hash range of about twice what is wanted; row_number() then sets the bound
-    rate = n_of.select(F.col("lang").alias("of"), (F.lit(2.0 * each) / F.col("n") * 2.0**63).alias("top"))
-    tagged = rows.join(rate, F.col("lang") == F.col("of")).withColumn("pick", F.abs(F.col("h").cast("double")) < F.col("top")).select("text", "lang", "h", "pick")
+    top = F.lit(0.0)
+    if n_of:
+        top = F.create_map(*[F.lit(x) for lang, n in sorted(n_of.items()) for x in (lang, 2.0 * each / n * 2.0**63)])[F.col("lang")]
+    tagged = rows.withColumn("pick", F.coalesce(F.abs(F.col("h").cast("double")) < top, F.lit(False)))
 
     def gather(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(DIM, dtype=np.int64), 0
