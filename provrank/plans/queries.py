@@ -595,17 +595,35 @@ r2 AS (SELECT a.paper_id AS prereq, b.paper_id AS dependent, 1.0::DOUBLE AS weig
 
 @query(F1 + "," + _CANON_ALL + " SELECT prereq, dependent, weight, detail FROM r2")
 def prereq_canonical(spark, sf_dir):
+    """Papers of 1996 and 1997 only, as its SQL has it; prereq_canonical_all has all papers."""
     c, a = _stored(spark, sf_dir)
     return prereq.by_concept(c.papers.where("year between 1996 and 1997"), a, ratio=2.0).select("prereq", "dependent", "weight", "detail")
 
 
+@query()
+def prereq_canonical_all(spark, sf_dir):
+    c, a = _stored(spark, sf_dir)
+    return prereq.by_concept(c.papers, a, ratio=2.0).select("prereq", "dependent", "weight", "detail")
+
+
 @query(F1 + "," + _CITE + "," + _CANON_ALL + """, r3 AS (SELECT DISTINCT dst AS prereq, src AS dependent FROM edges WHERE rel = 'cites'),
   every AS (SELECT prereq, dependent, reason, weight, 1 AS o FROM r1 UNION ALL SELECT prereq, dependent, 'canonical', weight, 2 FROM r2 UNION ALL SELECT prereq, dependent, 'related_work', 2.0, 3 FROM r3)
   SELECT prereq, dependent, reason, weight FROM every QUALIFY row_number() OVER (PARTITION BY prereq, dependent ORDER BY o) = 1""")
 def prereq_merged(spark, sf_dir):
+    """Canonical edges among papers of 1996 and 1997 only, as its SQL has it; prereq_merged_all has those of all papers."""
+    c, a = _stored(spark, sf_dir)
+    return _merged(c, a, c.papers.where("year between 1996 and 1997"))
+
+
+@query()
+def prereq_merged_all(spark, sf_dir):
     c, a = _stored(spark, sf_dir)
+    return _merged(c, a, c.papers)
+
+
+def _merged(c: fixtures.Corpus, a: DataFrame, members: DataFrame) -> DataFrame:
     related = a.where("rel = 'cites'").select(F.col("dst").alias("prereq"), F.col("src").alias("dependent"))
-    parts = [prereq.by_citation(c.papers, a), prereq.by_concept(c.papers.where("year between 1996 and 1997"), a, ratio=2.0), prereq.by_related_work(c.papers, related)]
+    parts = [prereq.by_citation(c.papers, a), prereq.by_concept(members, a, ratio=2.0), prereq.by_related_work(c.papers, related)]
     return prereq.merge_rules(parts).select("prereq", "dependent", "reason", "weight")
 
 

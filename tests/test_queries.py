@@ -41,3 +41,12 @@ def test_contract(spark):
 def test_rows_only_queries_run(spark, small):
     for name in ("bootstrap", "paired_permutation", "keyphrases"):
         assert QUERIES[name](spark, small).count() > 0
+
+
+@pytest.mark.parametrize("name", ["prereq_canonical", "prereq_merged"])
+def test_all_papers_have_canonical_edges(spark, small, db, name):
+    cut = " WHERE year BETWEEN 1996 AND 1997"
+    assert cut in ORACLES[name]
+    got = QUERIES[f"{name}_all"](spark, small).toPandas()
+    assert canon(got) == canon(db.sql(ORACLES[name].replace(cut, "")).df())
+    assert len(got) > len(db.sql(ORACLES[name]).df())
