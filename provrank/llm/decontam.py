@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,24 +45,37 @@ def grams(words: list[str], n: int = 3) -> set[tuple[str, ...]]:
     return set(zip(*(words[k:] for k in range(n)), strict=False)) if words else set()
 
 
+class Statistics:
+    """What BM25 needs of the whole benchmark: items with words, items by term, mean and greatest length."""
+
+    def __init__(self, texts: Iterable[str]):
+        self.n, self.total, self.longest, self.df = 0, 0, 0, Counter()
+        for t in texts:
+            if w := words_of(t):
+                self.n += 1
+                self.total += len(w)
+                self.longest = max(self.longest, len(w))
+                self.df.update(set(w))
+
+
 class BlockMaxIndex:
-    """Postings by term in item order, in blocks of ``block`` items, with each block's greatest impact."""
+    """Postings by term in item order, in blocks of ``block`` items, with each block's greatest impact. Without statistics, the items are the whole benchmark."""
 
-    def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, block: int = 4):
+    def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, block: int = 4, whole: Statistics | None = None):
+        whole = whole or Statistics(t for _, t in items)
         self.items = [(i, w, *split_item(t)) for i, t in items if (w := words_of(t))]
         self.block = block
         n = len(self.items)
         tf = [Counter(w) for _, w, _, _ in self.items]
-        df = Counter(t for c in tf for t in c)
-        mean = sum(len(w) for _, w, _, _ in self.items) / max(1, n)
-        idf = {t: float(np.log(1 + (n - d + 0.5) / (d + 0.5))) for t, d in df.items()}
+        mean = whole.total / max(1, whole.n)
+        idf = {t: float(np.log(1 + (whole.n - d + 0.5) / (d + 0.5))) for c in tf for t in c if (d := whole.df[t])}
         posts: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, c in enumerate(tf):
             norm = k1 * (1 - b + b * sum(c.values()) / mean)
             raw = {t: idf[t] * f * (k1 + 1) / (f + norm) for t, f in c.items()}
-            whole = sum(raw.values())
+            own = sum(raw.values())
             for t, v in raw.items():
-                posts[t].append((k, v / whole))
+                posts[t].append((k, v / own))
         self.term = {t: j for j, t in enumerate(sorted(posts))}
         self.docs = [[d for d, _ in posts[t]] for t in self.term]
         self.impacts = [[v for _, v in posts[t]] for t in self.term]
@@ -71,7 +84,7 @@ class BlockMaxIndex:
         for j, (ds, vs) in enumerate(zip(self.docs, self.impacts, strict=True)):
             for d, v in zip(ds, vs, strict=True):
                 self.block_max[j, d // block] = max(self.block_max[j, d // block], v)
-        self.longest = max((len(w) for _, w, _, _ in self.items), default=0)
+        self.longest = whole.longest
         self.parts = [(grams(q), grams(a)) for _, _, q, a in self.items]
 
     def wand(self, terms: list[int], threshold: float, first: int, last: int) -> list[tuple[int, float]]:
@@ -148,20 +161,21 @@ class BlockMaxIndex:
 
 
 def build(benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id") -> Iterator[list[BlockMaxIndex]]:
-    """Indexes of SHARD items each, four at a time, so that what is broadcast has a bound; each weighs terms over its own items."""
+    """Indexes of SHARD items each, four at a time, so that what is broadcast has a bound; all weigh terms over the whole benchmark, which is read once before for that."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null").orderBy("i", "t")
+    whole = Statistics(r.t for r in rows.select("t").toLocalIterator())
     batch: list[tuple[int, str]] = []
     shards: list[BlockMaxIndex] = []
     for r in rows.toLocalIterator():
         batch.append((r.i, r.t))
         if len(batch) == SHARD:
-            shards.append(BlockMaxIndex(batch))
+            shards.append(BlockMaxIndex(batch, whole=whole))
             batch = []
             if len(shards) == 4:
                 yield shards
                 shards = []
     if batch:
-        shards.append(BlockMaxIndex(batch))
+        shards.append(BlockMaxIndex(batch, whole=whole))
     if shards:
         yield shards
 

@@ -52,3 +52,16 @@ def test_question_and_answer():
     q, a = split_item("one two three four five six seven eight")
     assert q + a == "one two three four five six seven eight".split() and len(a) == 2
     assert split_item("") == ([], []) and split_item("word") == (["word"], [])
+
+
+def test_scores_are_the_same_however_the_benchmark_is_cut(spark, monkeypatch):
+    from provrank.llm import decontam
+
+    bench = items(50)
+    texts = [" ".join(w for k, w in enumerate(t.split()) if k % 4) for _, t in bench]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    find = lambda: sorted(tuple(r) for r in contaminated(docs, table, threshold=0.3, question=0.1, answer=0.0).collect())
+    whole = find()
+    monkeypatch.setattr(decontam, "SHARD", 7)
+    assert find() == whole and len(whole) >= 50
