@@ -1,8 +1,10 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A page becomes a list of text blocks. Each has its word count and link density, those of its
-neighbours, and what its surroundings say (inside an article or main element, inside page furniture, or
-neither). A small decision tree, trained on the table below, tells text from the rest.
+A page becomes a list of text blocks. Each has its word count and link density, those of the blocks
+before and after it, and its place. A small decision tree, trained on the table below, tells text from the
+rest. Words and densities decide on pages without an article element, on blocks whose class or id is an
+ambiguous word, and on lists of links inside an article. They can't tell a reader's comment, a notice or a
+short advert from a paragraph of the article, so the place is a feature beside them.
 """
 
 from __future__ import annotations
@@ -28,35 +30,49 @@ _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br img input".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FURNITURE = frozenset("nav header footer aside form dialog menu".split())
+#: Words of class, id or role that name page furniture, and such that are also used inside articles.
 _BAD = re.compile(
-    r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|notice|notices|cookie|cookies|consent|gdpr|banner|ad|ads|adv|advert|adverts|advertisement|promo|promotion|sponsor|sponsored"
-    r"|comment|comments|commentlist|discussion|disqus|replies|respond|form|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|widget|popup|modal|overlay|copyright|toolbar|pagination|pager|search|skip|alert)(?:$|[-_\s\d])",
+    r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|notice|notices|cookie|cookies|consent|gdpr|banner|ad|ads|adv|advert|adverts|advertisement|promo|promotion|sponsor|sponsored"
+    r"|comment|comments|commentlist|discussion|disqus|replies|respond|newsletter|subscribe|subscription|signup|login|breadcrumb|breadcrumbs|popup|modal|copyright|toolbar|pagination|pager)(?:$|[-_\s\d])",
     re.I,
 )
+_MAYBE = re.compile(r"(?:^|[-_\s])(?:side|form|share|sharing|social|related|recommended|widget|overlay|search|skip|alert)(?:$|[-_\s\d])", re.I)
 _MAIN = re.compile(r"(?:^|[-_\s])(?:article|articlebody|content|main|post|entry|story|body-text)(?:$|[-_\s])", re.I)
 _TALK = re.compile(r"comment|discussion|disqus|replies|respond", re.I)
 
+FURNITURE, MAYBE, UNMARKED, ARTICLE = 0, 1, 2, 3
+_MAYBE_OUTSIDE = -1  # under an ambiguous name, outside an article
 #: The labelled table: words, link density, words before, link density before, words after, link density after,
-#: surroundings (1 article, 0 neither, -1 furniture), page has an article (1 or 0), text (1) or not (0).
+#: place (3 in an article, 2 nothing said on a page without one, 1 under an ambiguous name, 0 in furniture or beside
+#: an article), text (1) or not (0).
 LABELLED = [
-    (120, 0.00, 80, 0.00, 95, 0.00, 1, 1, 1), (40, 0.05, 9, 0.00, 60, 0.10, 1, 1, 1), (6, 0.00, 1, 1.00, 90, 0.00, 1, 1, 1), (1, 0.00, 45, 0.00, 30, 0.00, 1, 1, 1),
-    (2, 0.00, 0, 0.00, 12, 0.00, 1, 1, 1), (14, 0.30, 20, 0.00, 8, 0.00, 1, 1, 1), (3, 0.00, 70, 0.00, 25, 0.20, 1, 1, 1), (9, 1.00, 30, 0.00, 22, 0.00, 1, 1, 1),
-    (1, 1.00, 12, 0.00, 40, 0.00, 1, 1, 1), (300, 0.01, 5, 0.00, 0, 0.00, 1, 1, 1), (17, 0.00, 0, 0.00, 0, 0.00, 1, 1, 1), (5, 0.50, 2, 0.50, 4, 0.50, 1, 1, 1),
-    (1, 1.00, 0, 0.00, 1, 1.00, -1, 1, 0), (1, 1.00, 1, 1.00, 1, 1.00, -1, 1, 0), (12, 0.00, 1, 1.00, 9, 0.00, -1, 1, 0), (30, 0.00, 60, 0.00, 0, 0.00, -1, 1, 0),
-    (85, 0.00, 90, 0.00, 40, 0.00, -1, 1, 0), (22, 0.20, 14, 0.00, 0, 0.00, -1, 1, 0), (4, 0.00, 33, 0.00, 2, 0.00, -1, 1, 0), (150, 0.00, 1, 1.00, 20, 0.00, -1, 1, 0),
-    (45, 0.00, 0, 0.00, 70, 0.00, -1, 0, 0), (2, 1.00, 1, 1.00, 3, 1.00, -1, 0, 0), (18, 0.10, 40, 0.00, 0, 0.00, -1, 0, 0), (100, 0.00, 50, 0.00, 60, 0.00, -1, 0, 0),
-    (20, 0.00, 1, 1.00, 50, 0.00, 0, 1, 0), (60, 0.00, 30, 0.00, 0, 0.00, 0, 1, 0), (3, 1.00, 2, 1.00, 5, 1.00, 0, 1, 0), (9, 0.00, 0, 0.00, 80, 0.00, 0, 1, 0),
-    (110, 0.00, 10, 0.00, 15, 0.00, 0, 1, 0), (35, 0.10, 70, 0.00, 30, 0.00, 0, 1, 0), (1, 0.00, 60, 0.00, 12, 0.00, 0, 1, 0), (16, 0.50, 9, 0.00, 44, 0.00, 0, 1, 0),
-    (90, 0.00, 70, 0.00, 85, 0.00, 0, 0, 1), (45, 0.02, 6, 0.00, 60, 0.00, 0, 0, 1), (25, 0.00, 90, 0.00, 3, 1.00, 0, 0, 1), (20, 0.10, 30, 0.00, 40, 0.05, 0, 0, 1),
-    (8, 0.00, 2, 1.00, 75, 0.00, 0, 0, 1), (4, 0.00, 55, 0.00, 60, 0.00, 0, 0, 1), (12, 0.00, 60, 0.00, 35, 0.00, 0, 0, 1), (200, 0.00, 3, 1.00, 2, 1.00, 0, 0, 1),
-    (6, 0.00, 44, 0.00, 48, 0.00, 0, 0, 1), (33, 0.20, 50, 0.00, 50, 0.00, 0, 0, 1), (18, 0.00, 0, 0.00, 45, 0.00, 0, 0, 1), (60, 0.00, 0, 0.00, 0, 0.00, 0, 0, 1),
-    (9, 0.00, 172, 0.00, 0, 0.00, -1, 1, 0), (60, 0.00, 300, 0.00, 5, 0.00, -1, 1, 0), (220, 0.00, 400, 0.00, 320, 0.00, -1, 1, 0), (34, 0.00, 120, 0.00, 8, 0.00, -1, 1, 0),
-    (210, 0.00, 95, 0.00, 12, 0.00, -1, 0, 0), (40, 0.00, 200, 0.00, 1, 0.00, -1, 0, 0), (70, 0.00, 90, 0.00, 45, 0.00, -1, 0, 0), (500, 0.00, 10, 0.00, 200, 0.00, -1, 1, 0),
-    (9, 0.00, 180, 0.00, 0, 0.00, 0, 1, 0), (60, 0.00, 250, 0.00, 70, 0.00, 0, 1, 0), (220, 0.00, 400, 0.00, 320, 0.00, 0, 1, 0), (34, 0.00, 120, 0.00, 8, 0.00, 0, 1, 0),
-    (180, 0.00, 90, 0.00, 10, 0.00, 0, 0, 1), (40, 0.00, 200, 0.00, 1, 0.00, 0, 0, 1), (70, 0.00, 95, 0.00, 45, 0.00, 0, 0, 1), (12, 0.00, 190, 0.00, 40, 0.00, 0, 0, 1),
-    (2, 1.00, 3, 1.00, 2, 1.00, 0, 0, 0), (5, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0), (3, 0.00, 2, 1.00, 4, 1.00, 0, 0, 0), (7, 0.80, 60, 0.00, 3, 1.00, 0, 0, 0),
-    (4, 0.00, 3, 0.00, 2, 0.00, 0, 0, 0), (12, 0.90, 15, 0.90, 11, 0.90, 0, 0, 0), (30, 0.90, 25, 0.80, 28, 0.90, 0, 0, 0), (2, 0.00, 0, 0.00, 3, 0.00, 0, 0, 0),
-    (6, 0.50, 4, 0.60, 5, 0.40, 0, 0, 0), (1, 1.00, 80, 0.00, 1, 1.00, 0, 0, 0), (9, 0.60, 2, 0.00, 3, 1.00, 0, 0, 0), (40, 0.70, 10, 1.00, 8, 1.00, 0, 0, 0),
+    (120, 0.00, 80, 0.00, 95, 0.00, 3, 1), (40, 0.05, 9, 0.00, 60, 0.10, 3, 1), (6, 0.00, 1, 1.00, 90, 0.00, 3, 1), (1, 0.00, 45, 0.00, 30, 0.00, 3, 1),
+    (2, 0.00, 0, 0.00, 12, 0.00, 3, 1), (14, 0.30, 20, 0.00, 8, 0.00, 3, 1), (3, 0.00, 70, 0.00, 25, 0.20, 3, 1), (9, 1.00, 30, 0.00, 22, 0.00, 3, 1),
+    (1, 1.00, 12, 0.00, 40, 0.00, 3, 1), (300, 0.01, 5, 0.00, 0, 0.00, 3, 1), (17, 0.00, 0, 0.00, 0, 0.00, 3, 1), (5, 0.50, 2, 0.50, 4, 0.50, 3, 1),
+    (1, 0.00, 2, 0.00, 1, 0.00, 3, 1), (12, 0.00, 3, 1.00, 2, 1.00, 3, 1), (60, 0.40, 8, 1.00, 5, 1.00, 3, 1), (4, 1.00, 0, 0.00, 18, 0.00, 3, 1),
+    (2, 1.00, 40, 0.00, 3, 1.00, 3, 0), (3, 1.00, 2, 1.00, 4, 1.00, 3, 0), (1, 1.00, 1, 1.00, 1, 1.00, 3, 0), (6, 1.00, 5, 1.00, 70, 0.00, 3, 0),
+    (8, 1.00, 90, 0.00, 7, 1.00, 3, 0), (2, 1.00, 9, 0.00, 1, 1.00, 3, 0), (5, 1.00, 6, 1.00, 15, 0.00, 3, 0), (10, 1.00, 8, 1.00, 9, 1.00, 3, 0),
+    (2, 1.00, 3, 1.00, 50, 0.00, 3, 0), (1, 1.00, 2, 1.00, 40, 0.00, 3, 0), (3, 1.00, 4, 1.00, 20, 0.00, 3, 0), (2, 1.00, 25, 0.00, 16, 0.00, 3, 1),
+    (3, 1.00, 40, 0.00, 8, 0.00, 3, 1), (5, 1.00, 60, 0.00, 0, 0.00, 3, 1), (2, 1.00, 30, 0.00, 3, 0.00, 3, 1), (7, 1.00, 22, 0.00, 5, 0.20, 3, 1),
+    (3, 1.00, 40, 0.00, 60, 0.00, 3, 1), (4, 1.00, 55, 0.00, 120, 0.00, 3, 1), (2, 1.00, 0, 0.00, 80, 0.00, 3, 1), (8, 1.00, 100, 0.00, 70, 0.00, 3, 1),
+    (90, 0.00, 70, 0.00, 85, 0.00, 2, 1), (45, 0.02, 6, 0.00, 60, 0.00, 2, 1), (25, 0.00, 90, 0.00, 3, 1.00, 2, 1), (20, 0.10, 30, 0.00, 40, 0.05, 2, 1),
+    (8, 0.00, 2, 1.00, 75, 0.00, 2, 1), (4, 0.00, 55, 0.00, 60, 0.00, 2, 1), (12, 0.00, 60, 0.00, 35, 0.00, 2, 1), (200, 0.00, 3, 1.00, 2, 1.00, 2, 1),
+    (6, 0.00, 44, 0.00, 48, 0.00, 2, 1), (33, 0.20, 50, 0.00, 50, 0.00, 2, 1), (18, 0.00, 0, 0.00, 45, 0.00, 2, 1), (60, 0.00, 0, 0.00, 0, 0.00, 2, 1),
+    (180, 0.00, 90, 0.00, 10, 0.00, 2, 1), (40, 0.00, 200, 0.00, 1, 0.00, 2, 1), (70, 0.00, 95, 0.00, 45, 0.00, 2, 1), (12, 0.00, 190, 0.00, 40, 0.00, 2, 1),
+    (2, 1.00, 3, 1.00, 2, 1.00, 2, 0), (5, 1.00, 1, 1.00, 1, 1.00, 2, 0), (3, 0.00, 2, 1.00, 4, 1.00, 2, 0), (7, 0.80, 60, 0.00, 3, 1.00, 2, 0),
+    (4, 0.00, 3, 0.00, 2, 0.00, 2, 0), (12, 0.90, 15, 0.90, 11, 0.90, 2, 0), (30, 0.90, 25, 0.80, 28, 0.90, 2, 0), (2, 0.00, 0, 0.00, 3, 0.00, 2, 0),
+    (6, 0.50, 4, 0.60, 5, 0.40, 2, 0), (1, 1.00, 80, 0.00, 1, 1.00, 2, 0), (9, 0.60, 2, 0.00, 3, 1.00, 2, 0), (40, 0.70, 10, 1.00, 8, 1.00, 2, 0),
+    (1, 1.00, 1, 1.00, 60, 0.00, 2, 0), (2, 1.00, 3, 1.00, 30, 0.00, 2, 0), (3, 1.00, 0, 0.00, 50, 0.00, 2, 0), (1, 1.00, 0, 0.00, 90, 0.00, 2, 0),
+    (45, 0.00, 60, 0.00, 50, 0.00, 1, 1), (30, 0.05, 20, 0.00, 80, 0.00, 1, 1), (22, 0.00, 90, 0.00, 15, 0.00, 1, 1), (110, 0.10, 12, 0.00, 40, 0.00, 1, 1),
+    (70, 0.00, 4, 0.00, 0, 0.00, 1, 1), (18, 0.00, 45, 0.00, 33, 0.00, 1, 1), (28, 0.15, 30, 0.00, 26, 0.10, 1, 1), (160, 0.00, 100, 0.00, 3, 1.00, 1, 1),
+    (3, 0.00, 60, 0.00, 40, 0.00, 1, 0), (1, 0.00, 90, 0.00, 70, 0.00, 1, 0), (5, 0.00, 30, 0.00, 1, 1.00, 1, 0), (8, 0.00, 25, 0.00, 55, 0.00, 1, 0),
+    (2, 1.00, 80, 0.00, 2, 1.00, 1, 0), (12, 0.60, 40, 0.00, 9, 1.00, 1, 0), (35, 0.80, 20, 1.00, 25, 0.90, 1, 0), (6, 1.00, 50, 0.00, 45, 0.00, 1, 0),
+    (1, 1.00, 0, 0.00, 1, 1.00, 0, 0), (12, 0.00, 1, 1.00, 9, 0.00, 0, 0), (30, 0.00, 60, 0.00, 0, 0.00, 0, 0), (85, 0.00, 90, 0.00, 40, 0.00, 0, 0),
+    (22, 0.20, 14, 0.00, 0, 0.00, 0, 0), (4, 0.00, 33, 0.00, 2, 0.00, 0, 0), (150, 0.00, 1, 1.00, 20, 0.00, 0, 0), (45, 0.00, 0, 0.00, 70, 0.00, 0, 0),
+    (100, 0.00, 50, 0.00, 60, 0.00, 0, 0), (9, 0.00, 172, 0.00, 0, 0.00, 0, 0), (220, 0.00, 400, 0.00, 320, 0.00, 0, 0), (500, 0.00, 10, 0.00, 200, 0.00, 0, 0),
+    (1, 0.00, 60, 0.00, 12, 0.00, 0, 0), (60, 0.00, 250, 0.00, 70, 0.00, 0, 0), (40, 0.00, 200, 0.00, 1, 0.00, 0, 0), (17, 0.00, 0, 0.00, 0, 0.00, 0, 0),
+    (1, 1.00, 1, 1.00, 12, 0.00, 0, 0), (4, 1.00, 60, 0.00, 30, 0.00, 0, 0), (2, 1.00, 12, 0.00, 50, 0.00, 0, 0), (6, 1.00, 30, 0.00, 0, 0.00, 0, 0),
+    (3, 1.00, 0, 0.00, 18, 0.00, 0, 0), (9, 1.00, 28, 0.00, 24, 0.00, 0, 0), (1, 1.00, 20, 0.00, 40, 0.00, 0, 0), (2, 0.80, 35, 0.00, 16, 0.00, 0, 0),
 ]
 
 
@@ -95,10 +111,35 @@ def is_text(features: tuple) -> bool:
     return node >= 0.5
 
 
-def blocks(page: str) -> tuple[list[tuple[str, int, float, int]], bool]:
-    """Blocks (text, words, link density, surroundings) in page order; whether the page has an article or main element."""
+class _Stack:
+    """Open elements as (name, place, whether it is readers' talk), with the positions of each name, so that no step searches them all."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[str, int, bool]] = []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, name: str, place: int, talk: bool) -> None:
+        self.at.setdefault(name, []).append(len(self.held))
+        self.held.append((name, place, talk))
+
+    def last(self, name: str) -> int:
+        """The position of the innermost open element of that name, or -1."""
+        found = self.at.get(name)
+        return found[-1] if found else -1
+
+    def close(self, k: int) -> None:
+        """End the element at position k and all inside it."""
+        while len(self.held) > k:
+            self.at[self.held.pop()[0]].pop()
+
+    def top(self) -> tuple[str, int, bool]:
+        return self.held[-1] if self.held else ("", UNMARKED, False)
+
+
+def blocks(page: str) -> list[tuple[str, int, float, int]]:
+    """Blocks (text, words, link density, place) in page order."""
     out: list[tuple[str, int, float, int]] = []
-    stack: list[tuple[str, int, bool]] = []  # name, surroundings, whether it is readers' talk
+    stack = _Stack()
     pieces: list[str] = []
     linked: list[str] = []
     in_link = 0
@@ -107,9 +148,8 @@ def blocks(page: str) -> tuple[list[tuple[str, int, float, int]], bool]:
     def flush() -> None:
         text = " ".join("".join(pieces).split())
         if text:
-            words = len(text.split())
             density = min(1.0, len(" ".join("".join(linked).split())) / len(text))
-            out.append((text, words, density, stack[-1][1] if stack else 0))
+            out.append((text, text.count(" ") + 1, density, stack.top()[1]))
         pieces.clear()
         linked.clear()
 
@@ -134,69 +174,70 @@ def blocks(page: str) -> tuple[list[tuple[str, int, float, int]], bool]:
                 say(" ")
             continue
         if m["end"]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None:
+            k = stack.last(name)
+            if k < 0:
                 if name not in _INLINE:
                     flush()
-                    in_link = 0
-                elif stack[k][1] != (stack[k - 1][1] if k else 0):
-                    flush()
-                del stack[k:]
-            elif name not in _INLINE:
+                continue
+            if name not in _INLINE:
+                flush()
+                in_link = 0
+            elif stack.held[k][1] != (stack.held[k - 1][1] if k else UNMARKED):
                 flush()
+            stack.close(k)
             continue
         if name not in _INLINE:
             flush()
             in_link = 0
-            if name == "li":
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("li", "ul", "ol", "menu")), None)
-                if k is not None and stack[k][0] == "li":
-                    del stack[k:]
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-            if k is not None:
-                del stack[k:]
-        _, zone, talk = stack[-1] if stack else ("", 0, False)
+            if name == "li" and stack.last("li") > max(map(stack.last, ("ul", "ol", "menu"))):
+                stack.close(stack.last("li"))
+            if stack.last("p") >= 0:
+                stack.close(stack.last("p"))
+        _, place, talk = stack.top()
         hints, hidden = "", False
         for a in _ATTR.finditer(m["attrs"] or ""):
             value = a[2] or a[3] or a[4] or ""
             kind = a[1].lower()
             hidden |= kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "style" and "display:none" in value.replace(" ", "").lower())
             hints += f" {value}" if kind in ("class", "id", "role") else ""
-        marked = zone
+        marked = place
         if name in ("article", "main"):
             if not talk and not (hints and _TALK.search(hints)):
-                marked, has_main = 1, True
+                marked, has_main = ARTICLE, True
             else:
-                marked = -1
+                marked = FURNITURE
         elif name in _FURNITURE:
-            marked = zone if name == "header" and zone == 1 else -1
+            marked = place if name == "header" and place == ARTICLE else FURNITURE
         elif name not in ("body", "html"):
             if hidden or (hints and _BAD.search(hints)):
-                marked = -1
-            elif zone == 0 and hints and _MAIN.search(hints):
-                marked, has_main = 1, True
+                marked = FURNITURE
+            elif place >= UNMARKED and hints and _MAYBE.search(hints):
+                marked = MAYBE if place == ARTICLE else _MAYBE_OUTSIDE
+            elif place == UNMARKED and hints and _MAIN.search(hints):
+                marked, has_main = ARTICLE, True
         if name in _INLINE:
-            if marked != zone:
+            if marked != place:
                 flush()
             if name == "br":
                 say(" ")
         if name not in _VOID:
-            stack.append((name, marked, talk or (marked == -1 and bool(_TALK.search(hints or name)))))
+            stack.push(name, marked, talk or (marked == FURNITURE and bool(_TALK.search(hints or name))))
     if at < len(page):
         say(page[at:])
     flush()
-    return out, has_main
+    beside = {UNMARKED: FURNITURE, _MAYBE_OUTSIDE: FURNITURE} if has_main else {_MAYBE_OUTSIDE: MAYBE}
+    return [(t, w, d, beside.get(p, p)) for t, w, d, p in out]
+
+
+def features(found: list[tuple[str, int, float, int]]) -> list[tuple]:
+    """Words, density, those of the block before and after (0 where there is none), and place of each block."""
+    sides = [(0, 0.0), *[b[1:3] for b in found], (0, 0.0)]
+    return [(*sides[k + 1], *sides[k], *sides[k + 2], b[3]) for k, b in enumerate(found)]
 
 
 def main_text(page: str | None) -> str:
-    found, has_main = blocks(page) if page else ([], False)
-    kept = []
-    for k, (text, words, density, zone) in enumerate(found):
-        before = found[k - 1][1:3] if k else (0, 0.0)
-        after = found[k + 1][1:3] if k + 1 < len(found) else (0, 0.0)
-        if is_text((words, density, *before, *after, zone, int(has_main))):
-            kept.append(text)
-    return " ".join(kept)
+    found = blocks(page) if page else []
+    return " ".join(b[0] for b, f in zip(found, features(found), strict=True) if is_text(f))
 
 
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
