@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from provrank.llm._common import materialize, release
 
@@ -22,10 +21,12 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node sends its smaller neighbours and itself to the least of them. A node has as many smaller neighbours as links named it at first."""
-    near = edges.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-    out = near.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-    return materialize(out.where("a != b").distinct(), "edges")
+    """Each node sends its smaller neighbours and itself to the least of them; the minimum is joined back here too, as a hub may be the greatest of its neighbours."""
+    low = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "star")
+    out = edges.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+    out = materialize(out.where("a != b").distinct(), "edges")
+    release(low)
+    return out
 
 
 def _settled(edges: DataFrame) -> bool:
