@@ -64,3 +64,34 @@ def test_plan_and_codes():
     rot = learn_rotations(x, 2)
     assert np.allclose(rot[:, :16].T @ rot[:, :16], np.eye(16), atol=1e-8)
     assert substrings(x, rot, 4, 6).shape == (200, 6)
+
+
+def test_lengths_apart_and_very_large_numbers(spark):
+    x = [v.tolist() for v in vectors(3, 320)] + [[1e200 * z for z in v] for v in vectors(3, 320)[:20].tolist()]
+    short = [[1.0, 0.01 * k] for k in range(9)] + [[-1.0, 1.0]]
+    rows = [*enumerate(x), *[(1000 + k, v) for k, v in enumerate(short)], (None, [1.0, 0.0]), (2000, [5.0])]
+    out = {r.id: r for r in link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(out[320 + k].component_id == out[k].component_id and out[320 + k].n_links >= 1 for k in range(20))
+    assert [(out[1000 + k].n_links, out[1000 + k].component_id) for k in range(10)] == [(9, 1000)] * 9 + [(0, 1009)]
+    assert (out[None].n_links, out[None].component_id, out[None].kept) == (9, 1000, False) and out[2000].kept
+
+
+def test_recall_of_planted_pairs_at_the_threshold(spark):
+    """Pairs at cosine 0.9 to 0.92 among 6,000 vectors, against all pairs."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(600):
+        side = r.normal(size=64)
+        side -= (side @ x[k]) * x[k]
+        c = 0.9 + 0.02 * k / 600
+        x[3000 + k] = c * x[k] + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    n, _ = brute_links(x)
+    out = {v.id: v.n_links for v in link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert n.sum() >= 1100 and sum(min(out[i], n[i]) for i in out) >= 0.93 * n.sum() and all(out[i] <= n[i] for i in out)
+
+
+def brute_links(x, t=0.9):
+    near = x @ x.T >= t
+    np.fill_diagonal(near, False)
+    return near.sum(axis=1), near
