@@ -18,12 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provrank.llm._common import small_batches
+from provrank.llm._common import add_columns, materialize, small_batches
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
-#: Items in one index; more items are searched index by index.
-SHARD = 512
+#: Items in one index, and indexes that are broadcast together.
+SHARD, GROUP = 512, 4
 
 
 def words_of(text: str | None) -> list[str]:
@@ -161,17 +161,17 @@ class BlockMaxIndex:
 
 
 def build(benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id") -> Iterator[list[BlockMaxIndex]]:
-    """Indexes of SHARD items each, four at a time, so that what is broadcast has a bound; all weigh terms over the whole benchmark, which is read once before for that."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null").orderBy("i", "t")
+    """Indexes of SHARD items each, GROUP at a time, so that what is broadcast has a bound; all weigh terms over the whole benchmark, which is read once before for that."""
+    rows = benchmark.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).where("i is not null and t is not null").orderBy("i", "t")
     whole = Statistics(r.t for r in rows.select("t").toLocalIterator())
-    batch: list[tuple[int, str]] = []
     shards: list[BlockMaxIndex] = []
+    batch: list[tuple] = []
     for r in rows.toLocalIterator():
         batch.append((r.i, r.t))
         if len(batch) == SHARD:
             shards.append(BlockMaxIndex(batch, whole=whole))
             batch = []
-            if len(shards) == 4:
+            if len(shards) == GROUP:
                 yield shards
                 shards = []
     if batch:
@@ -180,15 +180,13 @@ def build(benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id")
         yield shards
 
 
-_HITS = "array<struct<item_id: bigint, score: double, question_overlap: double, answer_overlap: double, first_word: int>>"
+_FIELDS = ("item_id", "score", "question_overlap", "answer_overlap", "first_word")
 
 
-def _finder(shared, threshold: float, question: float, answer: float, passage: int):
-    names = ("item_id", "score", "question_overlap", "answer_overlap", "first_word")
-
-    @F.pandas_udf(_HITS)
+def _finder(shared, kind: str, threshold: float, question: float, answer: float, passage: int):
+    @F.pandas_udf(kind)
     def look(text: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(names, h, strict=True)) for index in shared.value for h in index.search(t, threshold, question, answer, passage)] for t in text], dtype=object)
+        return pd.Series([[dict(zip(_FIELDS, h, strict=True)) for index in shared.value for h in index.search(t, threshold, question, answer, passage)] for t in text], dtype=object)
 
     return look
 
@@ -197,25 +195,33 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", thre
     """docs with ``hits``: the items that each whole text holds, in item order of each index.
 
     Null, empty and unmatched texts have an empty array, as has every text where the benchmark is empty or
-    wordless. Repeated items are found once each. A column named hits gives way.
+    wordless. Items without an id or a text are left out; repeated items are found once each; of passages that
+    tie for an item the first counts. Item ids may be of any type that orders. A column named hits gives way.
+    SHARD * GROUP items are one pass over docs; each further pass reads what the one before wrote, so one group
+    of indexes is held at a time.
     """
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    out = docs.drop(*[c for c in docs.columns if c.lower() == "hits"])
-    found = F.array().cast(_HITS)
+    kind = benchmark.schema[columns.get("id_col", "item_id")].dataType.simpleString()
+    kind = f"array<struct<item_id: {kind}, score: double, question_overlap: double, answer_overlap: double, first_word: int>>"
+    out = add_columns(docs, {"hits": F.array().cast(kind)})
+    shared = None
     for shards in build(benchmark, **columns):
-        look = _finder(spark.sparkContext.broadcast(shards), threshold, question, answer, passage)
-        found = F.concat(found, look(F.col(f"`{text_col}`")))
-    return out.withColumn("hits", found)
+        if shared is not None:
+            out = materialize(out, "hits")
+            shared.unpersist()
+        shared = docs.sparkSession.sparkContext.broadcast(shards)
+        look = _finder(shared, kind, threshold, question, answer, passage)
+        out = out.withColumn("hits", F.concat("hits", look(F.col(f"`{text_col}`"))))
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """A row for each document and item that it holds."""
-    hit = annotate(docs, benchmark, **options).select(F.col(f"`{id_col}`"), F.explode("hits").alias("h"))
-    return hit.select(id_col, "h.*")
+    """A row for each document and item that it holds. An id column with the name of one of the item's columns is returned as doc_ and that name."""
+    name = f"doc_{id_col}" if id_col.lower() in _FIELDS else id_col
+    return annotate(docs, benchmark, **options).select(F.col(f"`{id_col}`").alias(name), F.explode("hits").alias("__h")).select(F.col(f"`{name}`"), "__h.*")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no item, with the columns of docs."""
-    return annotate(docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c.lower() == "hits"}), benchmark, **options).where(F.size("hits") == 0).drop("hits").withColumnsRenamed({f"__own_{c}": c for c in docs.columns})
-
+    """The rows of docs that hold no item, with the columns of docs, repeated rows included."""
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() == "hits"}
+    return annotate(docs.withColumnsRenamed(own), benchmark, **options).where(F.size("hits") == 0).drop("hits").withColumnsRenamed({v: k for k, v in own.items()})

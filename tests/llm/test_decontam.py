@@ -65,3 +65,39 @@ def test_scores_are_the_same_however_the_benchmark_is_cut(spark, monkeypatch):
     whole = find()
     monkeypatch.setattr(decontam, "SHARD", 7)
     assert find() == whole and len(whole) >= 50
+
+
+def test_more_items_than_a_group_of_indexes_score_as_one_benchmark(spark, monkeypatch):
+    """Every document against every item by the plain formula, with string ids, nulls and an id column that clashes."""
+    import math
+    import random
+    from collections import Counter
+
+    from provrank.llm import decontam
+
+    monkeypatch.setattr(decontam, "SHARD", 300)
+    monkeypatch.setattr(decontam, "GROUP", 2)
+    r = random.Random(9)
+    vocabulary = [f"w{int(r.paretovariate(0.7))}" for _ in range(3000)]
+    items = [(f"i{k:05d}", " ".join(r.choice(vocabulary) for _ in range(r.randint(8, 20)))) for k in range(1100)]
+    docs = []
+    for k in range(120):
+        w = [r.choice(vocabulary) for _ in range(r.randint(5, 90))]
+        got = r.choice(items)[1].split()
+        docs.append((k, " ".join(w[:10] + got[: r.randint(3, len(got))] + w[10:])))
+    docs += [(200, None), (201, ""), (202, "!!"), (203, docs[0][1]), (203, docs[0][1])]
+    words = {i: t.split() for i, t in items}
+    mean = sum(map(len, words.values())) / len(words)
+    df = Counter(t for w in words.values() for t in set(w))
+    weight = {}
+    for i, w in words.items():
+        raw = {t: math.log(1 + (len(words) - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t, f in Counter(w).items()}
+        weight[i] = {t: v / sum(raw.values()) for t, v in raw.items()}
+    want = set()
+    for d, text in set(docs):
+        have = set((text or "").split())
+        want |= {(d, i) for i, w in weight.items() if sum(v for t, v in w.items() if t in have) >= 0.5}
+    table = spark.createDataFrame(docs, "score long, text string")
+    found = decontam.contaminated(table, spark.createDataFrame([*items, (None, "w1 w2"), ("x", None)], "item_id string, text string"), id_col="score", question=0.0, answer=0.0).collect()
+    assert {(x.doc_score, x.item_id) for x in found} == want and len(want) > 60
+    assert decontam.keep_clean(table, spark.createDataFrame(items, "item_id string, text string"), question=0.0, answer=0.0).count() == len(docs) - len([d for d in docs if d[0] in {x for x, _ in want}])
