@@ -73,7 +73,7 @@ def grounded(pairs: DataFrame, found: DataFrame, client: CachedModel) -> DataFra
         replies.append((r.seed, r.candidate, str((parsed or {}).get("explanation") or answer).strip(), numbers, parsed is not None))
     said = spark.createDataFrame(replies, "seed string, candidate string, text string, fact_numbers array<string>, parse_ok boolean")
     cited = metapaths.ground_facts(said, found)
-    none = F.lit("No typed path was found between these papers in the graph.")
+    none = F.lit("The graph holds no typed path for this pair.")
     out = pairs.select("seed", "candidate").distinct().join(said.drop("fact_numbers"), ["seed", "candidate"], "left").join(cited, ["seed", "candidate"], "left")
     return out.select("seed", "candidate", F.coalesce("text", none).alias("text"), F.coalesce("cited_edges", F.array().cast("array<string>")).alias("cited_edges"), "parse_ok", "facts_used", "out_of_range", "unparseable", F.lit("llm-grounded").alias("explainer"))
 

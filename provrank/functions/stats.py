@@ -55,6 +55,12 @@ def monte_carlo_p(observed: Column, control: Column) -> Column:
     return (F.sum(F.when(control >= observed, 1).otherwise(0)) + 1) / (F.count(control) + 1.0)
 
 
+def _chunks(rows: int, width: int, cells: int = 4_000_000) -> list[int]:
+    """rows in parts of at most about this many cells, so that resampling takes bounded memory; the draws stay in one sequence."""
+    step = max(1, cells // max(1, width))
+    return [min(step, rows - k) for k in range(0, rows, step)]
+
+
 def bootstrap(values: Sequence[float], samples: int = 2000, confidence: float = 0.95, seed: int = 42) -> dict:
     """Moments and the percentile interval of resampled means; std has ddof 1; one value is its own interval."""
     x = np.asarray(list(values), dtype=float)
@@ -63,7 +69,7 @@ def bootstrap(values: Sequence[float], samples: int = 2000, confidence: float =
     low = high = x[0]
     if len(x) > 1:
         rng = np.random.default_rng(seed)
-        means = x[rng.integers(0, len(x), size=(samples, len(x)))].mean(axis=1)
+        means = np.concatenate([x[rng.integers(0, len(x), size=(rows, len(x)))].mean(axis=1) for rows in _chunks(samples, len(x))])
         low, high = np.percentile(means, [50 * (1 - confidence), 50 * (1 + confidence)])
     return {"n": len(x), "mean": x.mean(), "median": np.median(x), "std": x.std(ddof=1) if len(x) > 1 else 0.0, "ci_low": low, "ci_high": high, "confidence": confidence, "min": x.min(), "max": x.max()}
 
@@ -77,8 +83,11 @@ def paired_permutation(a: Sequence[float], b: Sequence[float], flips: int = 10_0
         return {"n": len(d), "mean_difference": 0.0, "p_value": 1.0, "effect_size": 0.0, "significant": False}
     rng = np.random.default_rng(seed)
     observed = abs(d.mean())
-    signs = rng.choice([-1.0, 1.0], size=(flips, len(d)))
-    p = (int((np.abs((signs * d).mean(axis=1)) >= observed - 1e-15).sum()) + 1) / (flips + 1)
+    beyond = 0
+    for rows in _chunks(flips, len(d)):
+        signs = rng.choice([-1.0, 1.0], size=(rows, len(d)))
+        beyond += int((np.abs((signs * d).mean(axis=1)) >= observed - 1e-15).sum())
+    p = (beyond + 1) / (flips + 1)
     std = d.std(ddof=1) if len(d) > 1 else 0.0
     return {"n": len(d), "mean_difference": float(d.mean()), "p_value": p, "effect_size": float(d.mean() / std) if std > 0 else 0.0, "significant": p < alpha}
 

@@ -53,9 +53,10 @@ def short_id(uri: Column) -> Column:
 def parse_json_object(text: str | None) -> dict | None:
     """The first JSON object among a fenced block, the whole text and its outermost braces."""
     text = text or ""
-    fenced = re.search(r"```(?:json)?\s*(.*?)```", text, re.S)
+    _, fence, rest = text.partition("```")
+    block = rest.partition("```")[0].removeprefix("json") if fence and "```" in rest else None
     low, high = text.find("{"), text.rfind("}")
-    for part in (fenced[1] if fenced else None, text, text[low : high + 1] if 0 <= low < high else None):
+    for part in (block, text, text[low : high + 1] if 0 <= low < high else None):
         try:
             found = json.loads(part) if part else None
         except ValueError:

@@ -48,9 +48,9 @@ def paths(pairs: DataFrame, arcs: DataFrame, nodes: DataFrame, max_paths: int =
 def explain(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """(seed, candidate, text, cited_edges, path_count): the deterministic explanation; edge ids in path order, first seen."""
     ordered = found.groupBy("seed", "candidate").agg(F.array_sort(F.collect_list(F.struct("position", "relation", "detail", "edge_ids"))).alias("p"))
-    said = F.concat(F.lit("Connected by "), F.array_join(F.transform("p", lambda x: F.concat(F.replace(x["relation"], F.lit("_"), F.lit(" ")), F.lit(" ("), x["detail"], F.lit(")"))), "; "), F.lit("."))
+    said = F.concat(F.lit("Links in the graph: "), F.array_join(F.transform("p", lambda x: F.concat(F.replace(x["relation"], F.lit("_"), F.lit(" ")), F.lit(" ("), x["detail"], F.lit(")"))), "; "), F.lit("."))
     out = pairs.select("seed", "candidate").distinct().join(ordered, ["seed", "candidate"], "left")
-    none = F.lit("No typed path was found between these papers in the graph.")
+    none = F.lit("The graph holds no typed path for this pair.")
     return out.select("seed", "candidate", F.coalesce(said, none).alias("text"), F.coalesce(F.array_distinct(F.flatten(F.transform("p", lambda x: x["edge_ids"]))), F.array().cast("array<string>")).alias("cited_edges"), F.coalesce(F.size("p"), F.lit(0)).alias("path_count"))
 
 

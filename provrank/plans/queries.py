@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provrank.functions import stats, text
@@ -185,9 +185,9 @@ def edges_merged(spark, sf_dir):
     return upsert.merge_edges(rows.join(ids, ["src", "dst"])).select("edge_id", "src", "dst", "weight")
 
 
-@query("SELECT user_id, count(*) AS misses FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM orders) GROUP BY 1")
+@query("SELECT user_id, count(*) AS misses FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
 def cache_misses(spark, sf_dir):
-    cache = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"))
+    cache = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("event_id"))
     return upsert.cache_misses(table(spark, sf_dir, _E), cache, "event_id").groupBy("user_id").agg(F.count("*").alias("misses"))
 
 
@@ -219,10 +219,23 @@ def ppr_flow(spark, sf_dir):
     return _rank(spark, sf_dir, _at_seed(spark))[2].flows.select("edge_id", "src", "dst", F.round("flow", 9).alias("flow"))
 
 
-@query("SELECT true AS holds")
+@query(F1 + ppr(SEED_START, STEPS + 1) + f", fl AS (SELECT a.dst AS node_id, sum(0.85 * x * p) AS inflow FROM pr JOIN tr a ON a.src = pr.node_id WHERE it = {STEPS} GROUP BY 1) SELECT node_id, round(0.15 * v, 9) AS teleport, round(inflow, 9) AS inflow, abs(x - 0.15 * v - inflow) < 1e-12 AS holds FROM pr JOIN fl USING (node_id) JOIN start USING (node_id) WHERE it = {STEPS + 1}")
 def ppr_decomposition(spark, sf_dir):
+    """Each node's mass, split into what it gets by teleport and over its arcs, and whether both make up the mass."""
     found = _rank(spark, sf_dir, _at_seed(spark))[2]
-    return flow.decomposition_error(found).select((F.col("error") < 1e-12).alias("holds"))
+    inflow = found.flows.groupBy(F.col("dst").alias("node_id")).agg(F.sum("flow").alias("inflow"))
+    both = found.scores.join(inflow, "node_id").join(F.broadcast(flow.decomposition_error(found)))
+    return both.select("node_id", F.round("teleport", 9).alias("teleport"), F.round("inflow", 9).alias("inflow"), (F.col("error") < 1e-12).alias("holds"))
+
+
+@query(F1 + ppr(SEED_START, 40, alpha=0.5) + " SELECT node_id, round(x, 8) AS x FROM pr WHERE it = 40")
+def ppr_converged(spark, sf_dir):
+    """Stops by itself at 1e-10, after about 33 steps at this teleport share; the SQL takes 40."""
+    c, a = _stored(spark, sf_dir)
+    found = flow.rank(a, flow.personalization(c.nodes, _at_seed(spark)(c)), alpha=0.5, max_iter=200, tol=1e-10)
+    if not found.converged:
+        raise AssertionError(f"no convergence in {found.iterations} steps")
+    return found.scores.select("node_id", F.round("x", 8).alias("x"))
 
 
 @query(F1 + ppr("SELECT node_id, CASE WHEN paper_id IS NULL THEN 0.0 ELSE (1.0 + citation_count) / (SELECT sum(1.0 + citation_count) FROM papers WHERE year = 1998)::DOUBLE END AS v FROM nodes LEFT JOIN (SELECT * FROM papers WHERE year = 1998) ON paper_id = node_id", STEPS + 1) + f" SELECT node_id, round(x, 9) AS x FROM pr WHERE it = {STEPS + 1}")
@@ -405,7 +418,7 @@ for _relation in metapaths.TYPES:
 
 
 @query(F1 + "," + _PATHS + """, flat AS (SELECT seed, candidate, unnest(edge_ids) AS e, position * 10 + unnest(range(1, len(edge_ids) + 1)) AS k FROM paths), first_ AS (SELECT seed, candidate, e, min(k) AS k FROM flat GROUP BY 1, 2, 3)
-  SELECT p.seed, p.candidate, p.text, c.cited FROM (SELECT seed, candidate, 'Connected by ' || string_agg(replace(relation, '_', ' ') || ' (' || detail || ')', '; ' ORDER BY position) || '.' AS text FROM paths GROUP BY 1, 2) p
+  SELECT p.seed, p.candidate, p.text, c.cited FROM (SELECT seed, candidate, 'Links in the graph: ' || string_agg(replace(relation, '_', ' ') || ' (' || detail || ')', '; ' ORDER BY position) || '.' AS text FROM paths GROUP BY 1, 2) p
   JOIN (SELECT seed, candidate, string_agg(e, ',' ORDER BY k) AS cited FROM first_ GROUP BY 1, 2) c USING (seed, candidate)""")
 def cited_edges(spark, sf_dir):
     pairs, found = _all_paths(spark, sf_dir)
@@ -555,13 +568,13 @@ def monte_carlo_p(spark, sf_dir):
 
 @query()
 def bootstrap(spark, sf_dir):
-    return stats.bootstrap_by(table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "grp"), "grp", "s_acctbal", samples=500)
+    return stats.bootstrap_by(table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "grp"), "grp", "s_acctbal")
 
 
 @query()
 def paired_permutation(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("grp"), "l_suppkey").agg(F.avg("l_quantity").alias("a"), (F.avg("l_extendedprice") / 1000).alias("b"))
-    return stats.paired_by(rows, "grp", "a", "b", flips=2000)
+    return stats.paired_by(rows, "grp", "a", "b")
 
 
 @query(F1 + " SELECT dst AS paper_id, max(CASE WHEN rel = 'cites' THEN 2.0 ELSE 1.0 END) AS relevance FROM arcs, seed WHERE src = s AND rel IN ('cites', 'cited_by') AND dst <> s GROUP BY 1")
@@ -587,43 +600,25 @@ def prereq_citation(spark, sf_dir):
     return prereq.by_citation(c.papers, a).select("prereq", "dependent", "weight", "detail")
 
 
-_CANON_ALL = """
-held AS (SELECT e.dst AS concept, p.paper_id, year, citation_count AS n FROM edges e JOIN (SELECT * FROM papers WHERE year BETWEEN 1996 AND 1997) p ON p.paper_id = e.src WHERE rel = 'shares_concept'),
+_CANON = """
+held AS (SELECT e.dst AS concept, p.paper_id, year, citation_count AS n FROM edges e JOIN papers p ON p.paper_id = e.src WHERE rel = 'shares_concept'),
 r2 AS (SELECT a.paper_id AS prereq, b.paper_id AS dependent, 1.0::DOUBLE AS weight, 'canonical for ''' || split_part(min(a.concept), ':', 2) || ''' (' || min(a.n)::VARCHAR || ' vs ' || min(b.n)::VARCHAR || ' citations)' AS detail
   FROM held a JOIN held b ON a.concept = b.concept AND a.paper_id <> b.paper_id WHERE b.n > 0 AND a.n >= 2 * b.n AND a.year <= b.year GROUP BY 1, 2)"""
 
 
-@query(F1 + "," + _CANON_ALL + " SELECT prereq, dependent, weight, detail FROM r2")
+@query(F1 + "," + _CANON + " SELECT prereq, dependent, weight, detail FROM r2")
 def prereq_canonical(spark, sf_dir):
-    """Papers of 1996 and 1997 only, as its SQL has it; prereq_canonical_all has all papers."""
-    c, a = _stored(spark, sf_dir)
-    return prereq.by_concept(c.papers.where("year between 1996 and 1997"), a, ratio=2.0).select("prereq", "dependent", "weight", "detail")
-
-
-@query()
-def prereq_canonical_all(spark, sf_dir):
     c, a = _stored(spark, sf_dir)
     return prereq.by_concept(c.papers, a, ratio=2.0).select("prereq", "dependent", "weight", "detail")
 
 
-@query(F1 + "," + _CITE + "," + _CANON_ALL + """, r3 AS (SELECT DISTINCT dst AS prereq, src AS dependent FROM edges WHERE rel = 'cites'),
+@query(F1 + "," + _CITE + "," + _CANON + """, r3 AS (SELECT DISTINCT dst AS prereq, src AS dependent FROM edges WHERE rel = 'cites'),
   every AS (SELECT prereq, dependent, reason, weight, 1 AS o FROM r1 UNION ALL SELECT prereq, dependent, 'canonical', weight, 2 FROM r2 UNION ALL SELECT prereq, dependent, 'related_work', 2.0, 3 FROM r3)
   SELECT prereq, dependent, reason, weight FROM every QUALIFY row_number() OVER (PARTITION BY prereq, dependent ORDER BY o) = 1""")
 def prereq_merged(spark, sf_dir):
-    """Canonical edges among papers of 1996 and 1997 only, as its SQL has it; prereq_merged_all has those of all papers."""
     c, a = _stored(spark, sf_dir)
-    return _merged(c, a, c.papers.where("year between 1996 and 1997"))
-
-
-@query()
-def prereq_merged_all(spark, sf_dir):
-    c, a = _stored(spark, sf_dir)
-    return _merged(c, a, c.papers)
-
-
-def _merged(c: fixtures.Corpus, a: DataFrame, members: DataFrame) -> DataFrame:
     related = a.where("rel = 'cites'").select(F.col("dst").alias("prereq"), F.col("src").alias("dependent"))
-    parts = [prereq.by_citation(c.papers, a), prereq.by_concept(members, a, ratio=2.0), prereq.by_related_work(c.papers, related)]
+    parts = [prereq.by_citation(c.papers, a), prereq.by_concept(c.papers, a, ratio=2.0), prereq.by_related_work(c.papers, related)]
     return prereq.merge_rules(parts).select("prereq", "dependent", "reason", "weight")
 
 
@@ -697,10 +692,74 @@ def abstract_rebuild(spark, sf_dir):
     return index.select("doc_id", text.rebuild_abstract(F.col("index")).alias("abstract"))
 
 
-@query("SELECT conv_id, role, count(*) AS turns FROM conversations GROUP BY 1, 2")
-def authors_exploded(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", "turn")).alias("authors"))
-    return rows.select("conv_id", F.explode("authors").alias("a")).groupBy("conv_id", F.col("a.role").alias("role")).agg(F.count("*").alias("turns"))
+# records ----------------------------------------------------------------------------------------
+
+_RECORD_SQL = """SELECT '{prefix}' || p_partkey::VARCHAR AS paper_id, p_name AS title, {abstract} AS abstract, (1990 + p_size)::INT AS year, p_brand AS venue, p_size::BIGINT AS citation_count,
+  {fields} AS fields, 'A' || (p_partkey % 50)::VARCHAR || ':' || p_brand AS authors, '{prefix}' || (p_partkey // 2)::VARCHAR || ',{prefix}' || (p_partkey // 3)::VARCHAR AS citations FROM part WHERE p_partkey // 2 <> p_partkey // 3
+  UNION ALL SELECT '{prefix}' || p_partkey::VARCHAR, p_name, {abstract}, (1990 + p_size)::INT, p_brand, p_size::BIGINT, {fields}, 'A' || (p_partkey % 50)::VARCHAR || ':' || p_brand, '{prefix}' || (p_partkey // 2)::VARCHAR FROM part WHERE p_partkey // 2 = p_partkey // 3"""
+
+
+def _record_query(name: str, prefix: str, abstract: str, fields: str, shape: Callable, normal: str) -> None:
+    def run(spark, sf_dir):
+        from provrank.sources import records
+
+        p = table(spark, sf_dir, "part")
+        half, third = (F.floor(F.col("p_partkey") / k).cast("string") for k in (2, 3))
+        lines = p.select(F.to_json(F.struct(*[v.alias(k) for k, v in shape(F.col("p_partkey").cast("string"), half, third).items()])).alias("line"))
+        out = getattr(records, normal)(records.json_records(lines))
+        authors = F.array_join(F.transform("authors", lambda a: F.concat_ws(":", a["author_id"], a["name"])), ",")
+        return out.select("paper_id", "title", "abstract", "year", "venue", "citation_count", F.array_join("fields", ",").alias("fields"), authors.alias("authors"), F.array_join("citations", ",").alias("citations"))
+
+    QUERIES[name], ORACLES[name] = run, _RECORD_SQL.format(prefix=prefix, abstract=abstract, fields=fields)
+
+
+def _named(name: str, *values) -> Column:
+    return F.array(*[F.struct(v.alias(name)) for v in values])
+
+
+def _writer(id_name: str, name: str) -> Column:
+    return F.array(F.struct(F.concat(F.lit("A"), (F.col("p_partkey") % 50).cast("string")).alias(id_name), F.col("p_brand").alias(name)), F.struct(F.lit(None).cast("string").alias(id_name), F.lit(None).cast("string").alias(name)))
+
+
+_record_query("records_scholar", "", "p_type", "p_type || ',' || p_brand", lambda k, half, third: {
+    "paperId": k, "title": F.col("p_name"), "abstract": F.col("p_type"), "year": 1990 + F.col("p_size"), "venue": F.lit(""), "publicationVenue": F.struct(F.col("p_brand").alias("name")), "citationCount": F.col("p_size"),
+    "s2FieldsOfStudy": _named("category", F.col("p_type"), F.col("p_brand"), F.col("p_type")), "authors": _writer("authorId", "name"), "references": _named("paperId", half, third)}, "scholar_papers")
+_record_query("records_openalex", "", "p_brand || ' of ' || p_brand", "p_type", lambda k, half, third: {
+    "id": F.concat(F.lit("https://host.test/"), k), "display_name": F.col("p_name"), "abstract_inverted_index": F.create_map(F.col("p_brand"), F.array(F.lit(0), F.lit(2)), F.lit("of"), F.array(F.lit(1))), "publication_year": 1990 + F.col("p_size"),
+    "primary_location": F.struct(F.struct(F.col("p_brand").alias("display_name")).alias("source")), "cited_by_count": F.col("p_size"), "topics": _named("display_name", F.col("p_type")),
+    "authorships": F.array(F.struct(F.struct(F.concat(F.lit("https://host.test/A"), (F.col("p_partkey") % 50).cast("string")).alias("id"), F.col("p_brand").alias("display_name")).alias("author"))),
+    "referenced_works": F.array(F.concat(F.lit("https://host.test/"), half), F.concat(F.lit("https://host.test/"), third))}, "openalex_papers")
+_record_query("records_s2orc", "s2orc:", "p_type", "p_type || ',' || p_brand", lambda k, half, third: {
+    "corpusid": F.col("p_partkey"), "title": F.col("p_name"), "abstract": F.struct(F.col("p_type").alias("text")), "year": 1990 + F.col("p_size"), "venue": F.struct(F.col("p_brand").alias("name")), "citationcount": F.col("p_size"),
+    "s2fieldsofstudy": _named("category", F.col("p_type")), "fields": F.array("p_brand"), "authors": _writer("authorId", "name"), "references": F.array(half), "outbound_citations": _named("corpusid", third, half)}, "s2orc_papers")
+_record_query("records_dblp", "dblp:", "p_type", "p_type || ',' || p_brand", lambda k, half, third: {
+    "_id": k, "title": F.col("p_name"), "abstract": F.col("p_type"), "year": 1990 + F.col("p_size"), "venue": F.struct(F.col("p_brand").alias("raw")), "n_citation": F.col("p_size"),
+    "fos": _named("name", F.col("p_type")), "keywords": F.array("p_brand", "p_type"), "authors": _writer("_id", "name"), "references": F.array(half, third)}, "dblp_papers")
+
+
+@query("SELECT c_custkey, CASE WHEN 40 - (c_custkey % 41) <= 0 THEN 1.0 ELSE round(1.0 - ((c_nationkey - c_custkey % 41) / (40 - c_custkey % 41)::DOUBLE), 9) END AS retention, CASE WHEN c_acctbal < 0 THEN 'not testable' WHEN c_mktsegment = 'BUILDING' THEN 'removing the cited edges moves it further than chance' WHEN c_nationkey > 9 THEN 'moves, but no further than random edges' ELSE 'does not move' END AS note FROM customer")
+def sufficiency_and_verdict(spark, sf_dir):
+    kept = stats.retention(F.col("c_custkey") % 41, F.col("c_nationkey"), F.lit(40))
+    note = text.verdict_note(F.col("c_acctbal") >= 0, F.col("c_mktsegment") == "BUILDING", F.col("c_nationkey") - 9)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(kept, 9).alias("retention"), note.alias("note"))
+
+
+@query(F1 + ", pos AS (SELECT paper_id, year, citation_count, row_number() OVER (ORDER BY citation_count DESC, paper_id) AS position FROM papers), best AS (SELECT paper_id FROM pos WHERE paper_id <> (SELECT s FROM seed) ORDER BY CASE WHEN year < 1998 THEN (year % 7) / 7.0 ELSE 0 END DESC, position, paper_id LIMIT 14) SELECT paper_id FROM best UNION ALL SELECT s FROM seed")
+def tree_members(spark, sf_dir):
+    c = fixtures.orders_corpus(spark, sf_dir)
+    ranked = retrieval.positions(c.papers.select("paper_id", F.col("citation_count").cast("double").alias("s")), "s", "position")
+    tested = c.papers.where("year < 1998").select("paper_id", ((F.col("year") % 7) / 7.0).alias("necessity"))
+    return prereq.prune(ranked, tested, _seed(c.papers))
+
+
+@query()
+def cycles_cut(spark, sf_dir):
+    """For each supplier's nation the part-to-part edges of its lines, weakest edge of each cycle dropped; tests compare it with a plain version."""
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    name = lambda c: F.concat(F.lit("n"), (F.col(c) % 12).cast("string"))
+    e = li.groupBy(F.col("s_nationkey").cast("string").alias("nation"), name("l_orderkey").alias("prereq"), name("l_partkey").alias("dependent")).agg(F.sum("l_quantity").alias("weight"))
+    e = e.where("prereq != dependent").select("nation", "prereq", "dependent", F.lit("citation").alias("reason"), "weight", F.lit("").alias("detail"))
+    return prereq.break_cycles(e, by="nation").select("nation", "prereq", "dependent", "weight", "dropped")
 
 
 @query("SELECT event_id FROM events WHERE json_valid(raw) AND json_type(raw) = 'OBJECT'".replace("FROM events", "FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'broken' || props WHEN event_id % 7 = 1 THEN '[1, 2]' ELSE props END AS raw FROM events)"))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_temporary: dict[str, str] = {}
+
 
 def workspace(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one in a local session; on a cluster, which wouldn't see it, an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _temporary.get(spark.sparkContext.applicationId)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="provrank-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _temporary[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="provrank-")
     return base.rstrip("/")
 
 
