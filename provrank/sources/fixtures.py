@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -79,3 +79,51 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(paper_id, vector) of the documents that have an embedding."""
     return table(spark, sf_dir, "embeddings").select(_id("D", "vec_id").alias("paper_id"), F.col("embedding").alias("vector"))
+
+
+def recorded_responses(spark: SparkSession, sf_dir: str, service: str) -> tuple[DataFrame, DataFrame]:
+    """Recorded calls of a paper service over orders, and the seeds of a build: (call, key, position, record, error) and (position, key).
+
+    An order refers to the one before it that has the same part, for each of its parts by id, and is cited by the one
+    after it. service "scholar": calls paper, references, citations; "openalex": work, with references
+    inline, and citing. Calls for a record or its references fail for orders that are urgent and pending
+    (status P); calls for what cites an order fail if it is of low priority and pending. Seeds are each
+    nation's and segment's dearest order, one id that is known to be absent and one that was never recorded.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", F.year("o_orderdate").alias("year"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct().join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    w = Window.partitionBy("l_partkey").orderBy("l_orderkey")
+    near = line.select("l_orderkey", "l_partkey", F.lag("l_orderkey").over(w).alias("prev"), F.lead("l_orderkey").over(w).alias("next"))
+    paper = F.concat(F.lit("P"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0"))
+    urgent = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")
+    low = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW")
+    listed = lambda side: near.where(f"{side} is not null").groupBy("l_orderkey").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("l_partkey", side))), lambda x: x[side])).alias(side))  # noqa: E731  as many as an order has parts
+    own = orders.join(listed("prev"), F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey").join(listed("next"), F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    none = F.array().cast("array<long>")
+    own = own.select("*", paper.alias("key"), F.coalesce("prev", none).alias("refs"), F.coalesce("next", none).alias("cited"))
+    name = lambda x: F.concat(F.lit("P"), F.lpad(x.cast("string"), 10, "0"))
+    if service == "scholar":
+        record = F.to_json(F.struct(F.col("key").alias("paperId"), F.col("o_orderpriority").alias("title"), "year"))
+    else:
+        url = lambda x: F.concat(F.lit("https://host.test/"), name(x))
+        record = F.to_json(F.struct(F.concat(F.lit("https://host.test/"), "key").alias("id"), F.col("o_orderpriority").alias("title"), F.col("year").alias("publication_year"), F.transform("refs", url).alias("referenced_works")))
+    own = own.withColumn("json", record)
+    columns = ["call", "key", "position", "json", "error"]
+    one = lambda call, bad: own.select(F.lit(call).alias("call"), "key", F.lit(0).cast("long").alias("position"), F.when(~bad, F.col("json")).alias("json"), F.when(bad, "503").alias("error"))
+
+    def many(call: str, side: str, bad: Column) -> DataFrame:
+        rows = own.select("key", F.when(bad, "503").alias("error"), F.posexplode_outer(F.when(~bad, F.col(side))).alias("position", "other"))
+        met = rows.join(own.select(F.col("o_orderkey").alias("other"), F.col("json")), "other", "left")
+        return met.select(F.lit(call).alias("call"), "key", F.col("position").cast("long").alias("position"), "json", "error")
+
+    if service == "scholar":
+        calls = one("paper", urgent).unionByName(many("references", "refs", urgent)).unionByName(many("citations", "cited", low))
+    else:
+        calls = one("work", urgent).unionByName(many("citing", "cited", low))
+    absent = spark.createDataFrame([("paper" if service == "scholar" else "work", "absent", 0, None, None)], "call string, key string, position long, json string, error string")
+    calls = calls.select(columns).unionByName(absent).select("call", "key", "position", F.try_parse_json("json").alias("record"), "error")
+    best = orders.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment"), "o_custkey")
+    best = best.groupBy("c_nationkey", "c_mktsegment").agg(F.max(F.struct("o_totalprice", "o_orderkey")).alias("m")).select("c_nationkey", "c_mktsegment", F.col("m.o_orderkey").alias("o_orderkey"))
+    rank = F.row_number().over(Window.orderBy("c_nationkey", "c_mktsegment"))  # a row for each nation and segment
+    seeds = best.select(rank.cast("long").alias("position"), paper.alias("key")).unionByName(spark.createDataFrame([(0, "absent"), (-1, "unrecorded")], "position long, key string"))
+    return calls, seeds

@@ -6,12 +6,13 @@ A service is anything with fetch(key) -> dict or None. Real clients can be put i
 from __future__ import annotations
 
 import json
-from collections import deque
-from collections.abc import Iterable
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Protocol
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 
 class FetchFailed(RuntimeError):
     """A response that is neither a record nor a plain absence."""
@@ -59,37 +60,15 @@ class Cached:
         return found
 
 
-@dataclass
-class Expansion:
-    """Records reached breadth first from seeds, with hops, failures and the links among them."""
-
-    records: dict[str, dict]
-    hops: dict[str, int]
-    links: list[tuple[str, str]]
-    failed: list[str]
-
-
-def expand(service: Service, seeds: Iterable[str], max_hops: int, max_papers: int, per_paper: int = 50) -> Expansion:
-    """Follow each record's references, then citations, at most per_paper of each; links join loaded records only."""
-    out = Expansion({}, {}, [], [])
-    queue = deque((s, 0) for s in dict.fromkeys(seeds))
-    seen = {s for s, _ in queue}
-    wanted: list[tuple[str, str]] = []
-    while queue and len(out.records) < max_papers:
-        key, hop = queue.popleft()
-        try:
-            record = service.fetch(key)
-        except FetchFailed:
-            out.failed.append(key)
-            continue
-        if record is None:
-            continue
-        out.records[key], out.hops[key] = record, hop
-        for name, forward in (("references", True), ("citations", False)):
-            for other in (record.get(name) or [])[:per_paper]:
-                wanted.append((key, other) if forward else (other, key))
-                if hop < max_hops and other not in seen:
-                    seen.add(other)
-                    queue.append((other, hop + 1))
-    out.links = sorted({(a, b) for a, b in wanted if a != b and a in out.records and b in out.records})
-    return out
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded calls for operators.expand from JSON lines: call, key, and one of records (an array), record or error.
+
+    A line whose records are empty is a call that returned nothing; a line that is no JSON object is dropped.
+    """
+    from provrank.sources.records import read_jsonl
+
+    get = lambda name, kind="string": F.try_variant_get("record", f"$.{name}", kind)
+    lines = read_jsonl(spark, path)
+    listed = F.coalesce(get("records", "array<variant>"), F.when(get("record", "variant").isNotNull(), F.array(get("record", "variant"))))
+    rows = lines.select(get("call").alias("call"), get("key").alias("key"), get("error").alias("error"), F.posexplode_outer(listed).alias("position", "record"))
+    return rows.where("call is not null and key is not null").select("call", "key", F.col("position").cast("long").alias("position"), "record", "error")

@@ -51,11 +51,14 @@ def test_seed_file(spark, tmp_path):
     assert [r.paper_id for r in records.read_seeds(spark, str(tmp_path / "s")).collect()] == ["A1", "B2"]
 
 
-def test_recorded_expansion():
-    r = recorded.Recorded({"a": {"references": ["b", "c", "a"], "citations": ["d"]}, "b": {"references": ["e"]}, "c": "503", "d": None, "e": {}})
-    x = recorded.expand(recorded.Cached(r), ["a", "a"], max_hops=1, max_papers=10)
-    assert x.hops == {"a": 0, "b": 1} and x.links == [("a", "b")] and x.failed == ["c"]
-    assert recorded.expand(r, ["a"], 2, 10).hops["e"] == 2 and len(recorded.expand(r, ["a"], 2, 1).records) == 1
+def test_recorded_service_and_cache():
+    r = recorded.Recorded({"a": {"x": 1}, "c": "503", "d": None})
+    cached = recorded.Cached(r)
+    assert [cached.fetch(k) for k in ("a", "a", "d", "d")] == [{"x": 1}, {"x": 1}, None, None] and (cached.hits, cached.misses, r.served) == (2, 2, 2)
+    for _ in range(2):  # a failure is not kept
+        with pytest.raises(recorded.FetchFailed):
+            cached.fetch("c")
+    assert r.served == 4
 
 
 def test_text_helpers():
