@@ -1,17 +1,21 @@
-"""Rank metrics and small-sample statistics. Grouped resampling runs in Arrow with numpy's PCG64, for a fixed seed."""
+"""Rank metrics and statistics. Resampling takes its random numbers from sha1 of (seed, sample, position), not from a generator's state."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import sha1
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-DISTRIBUTION = "n long, mean double, median double, std double, ci_low double, ci_high double, confidence double, min double, max double"
-PAIRED = "n long, mean_difference double, p_value double, effect_size double, significant boolean"
+#: Signs that one digest gives: its hexadecimal digits.
+SIGNS = 40
+#: Decimals at which means of flips are compared.
+PLACES = 10
+#: Differences up to this count as none.
+NO_DIFFERENCE = 1e-8
 
 
 def gain(relevance: Column, position: Column) -> Column:
@@ -55,56 +59,91 @@ def monte_carlo_p(observed: Column, control: Column) -> Column:
     return (F.sum(F.when(control >= observed, 1).otherwise(0)) + 1) / (F.count(control) + 1.0)
 
 
-def _chunks(rows: int, width: int, cells: int = 4_000_000) -> list[int]:
-    """rows in parts of at most about this many cells, so that resampling takes bounded memory; the draws stay in one sequence."""
-    step = max(1, cells // max(1, width))
-    return [min(step, rows - k) for k in range(0, rows, step)]
+def draw(seed: int, sample: int, position: int, n: int) -> int:
+    """The index that a resample draws at a position: a number below n from sha1, the same in every engine and however the work is split."""
+    return int(sha1(f"{seed}:{sample}:{position}".encode()).hexdigest()[:13], 16) % n
+
+
+def sign(seed: int, flip: int, position: int) -> int:
+    """The sign that a flip gives a position: a digit of sha1 for each of SIGNS flips."""
+    return 1 if sha1(f"{seed}:{flip // SIGNS}:{position}".encode()).hexdigest()[flip % SIGNS] < "8" else -1
 
 
 def bootstrap(values: Sequence[float], samples: int = 2000, confidence: float = 0.95, seed: int = 42) -> dict:
-    """Moments and the percentile interval of resampled means; std has ddof 1; one value is its own interval."""
-    x = np.asarray(list(values), dtype=float)
-    if not len(x):
-        return {"n": 0, "mean": 0.0, "median": 0.0, "std": 0.0, "ci_low": 0.0, "ci_high": 0.0, "confidence": confidence, "min": 0.0, "max": 0.0}
-    low = high = x[0]
-    if len(x) > 1:
-        rng = np.random.default_rng(seed)
-        means = np.concatenate([x[rng.integers(0, len(x), size=(rows, len(x)))].mean(axis=1) for rows in _chunks(samples, len(x))])
-        low, high = np.percentile(means, [50 * (1 - confidence), 50 * (1 + confidence)])
-    return {"n": len(x), "mean": x.mean(), "median": np.median(x), "std": x.std(ddof=1) if len(x) > 1 else 0.0, "ci_low": low, "ci_high": high, "confidence": confidence, "min": x.min(), "max": x.max()}
+    """bootstrap_by() for a few values of one group, here and now; no values give zeros."""
+    x = sorted(float(v) for v in values)
+    n = len(x)
+    if n == 0:
+        return dict.fromkeys(("mean", "median", "std", "ci_low", "ci_high", "min", "max"), 0.0) | {"n": 0, "confidence": confidence}
+    means = [sum(x[draw(seed, s, j, n)] for j in range(n)) / n for s in range(samples)]
+    tail = (1 - confidence) / 2
+    low, high = np.quantile(means, [tail, 1 - tail])
+    return {"n": n, "mean": float(np.mean(x)), "median": float(np.median(x)), "std": float(np.std(x, ddof=1)) if n > 1 else 0.0, "ci_low": float(low), "ci_high": float(high), "confidence": confidence, "min": x[0], "max": x[-1]}
 
 
 def paired_permutation(a: Sequence[float], b: Sequence[float], flips: int = 10_000, alpha: float = 0.05, seed: int = 42) -> dict:
-    """Two-sided sign-flip test of the mean difference, one added above and below; effect is mean / std."""
-    if len(a) != len(b):
-        raise ValueError("paired samples differ in length")
-    d = np.asarray(a, dtype=float) - np.asarray(b, dtype=float)
-    if not len(d) or np.allclose(d, 0):
-        return {"n": len(d), "mean_difference": 0.0, "p_value": 1.0, "effect_size": 0.0, "significant": False}
-    rng = np.random.default_rng(seed)
-    observed = abs(d.mean())
-    beyond = 0
-    for rows in _chunks(flips, len(d)):
-        signs = rng.choice([-1.0, 1.0], size=(rows, len(d)))
-        beyond += int((np.abs((signs * d).mean(axis=1)) >= observed - 1e-15).sum())
-    p = (beyond + 1) / (flips + 1)
-    std = d.std(ddof=1) if len(d) > 1 else 0.0
-    return {"n": len(d), "mean_difference": float(d.mean()), "p_value": p, "effect_size": float(d.mean() / std) if std > 0 else 0.0, "significant": p < alpha}
-
-
-def bootstrap_by(df: DataFrame, by: str, value: str, **options) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{by: pdf[by].iloc[0]} | bootstrap(pdf[value].dropna().sort_values(), **options)])
-
-    return df.select(by, value).groupBy(by).applyInPandas(run, f"{by} {df.schema[by].dataType.simpleString()}, {DISTRIBUTION}")
-
-
-def paired_by(df: DataFrame, by: str, a: str, b: str, **options) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([a, b])
-        return pd.DataFrame([{by: pdf[by].iloc[0]} | paired_permutation(pdf[a].tolist(), pdf[b].tolist(), **options)])
-
-    return df.select(by, a, b).groupBy(by).applyInPandas(run, f"{by} {df.schema[by].dataType.simpleString()}, {PAIRED}")
+    """paired_by() for a few pairs of one group, here and now; ValueError where a and b differ in length."""
+    d = sorted(float(x) - float(y) for x, y in zip(a, b, strict=True))
+    n = len(d)
+    if max(map(abs, d), default=0.0) <= NO_DIFFERENCE:
+        return {"n": n, "mean_difference": 0.0, "p_value": 1.0, "effect_size": 0.0, "significant": False}
+    mean, spread = sum(d) / n, float(np.std(d, ddof=1)) if n > 1 else 0.0
+    reach = sum(round(abs(sum(sign(seed, f, j) * v for j, v in enumerate(d)) / n), PLACES) >= round(abs(mean), PLACES) for f in range(flips))
+    p = (reach + 1) / (flips + 1)
+    return {"n": n, "mean_difference": mean, "p_value": p, "effect_size": mean / spread if spread else 0.0, "significant": p < alpha}
+
+
+def _placed(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, value, position, n): each value's place from 0 in the ascending order of its group, without one task for a group."""
+    from provrank.operators.order import numbered
+    from provrank.storage import materialize, release
+
+    all_ = numbered(rows.where(F.col(by).isNotNull() & F.col(value).isNotNull()), [by, value], "__seq")
+    sizes = all_.groupBy(by).agg(F.min("__seq").alias("__first"), F.count("*").alias("n"))
+    out = materialize(all_.join(sizes, by).select(by, value, (F.col("__seq") - F.col("__first")).alias("position"), "n"), "placed")
+    release(all_)
+    return out
+
+
+def bootstrap_by(df: DataFrame, by: str, value: str, samples: int = 2000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """(by, n, mean, median, std, ci_low, ci_high, confidence, min, max): moments and the percentile interval of resampled means.
+
+    Resample s draws at position j what draw() gives, so DataFrame operations make and sum the draws, a
+    group's spread over tasks. std has ddof 1; one value is its own interval; null values don't count,
+    a group without values has zeros, a null group is left out.
+    """
+    rows = df.where(F.col(by).isNotNull()).select(by, F.col(value).cast("double").alias(value))
+    placed = _placed(rows, by, value)
+    digest = F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col("sample").cast("string"), F.col("position").cast("string")))
+    drawn = placed.select(by, "n", "position", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
+    drawn = drawn.select(by, "sample", (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") % F.col("n")).alias("position"))
+    means = drawn.join(placed.select(by, "position", value), [by, "position"]).groupBy(by, "sample").agg(F.avg(value).alias("mean"))
+    tail = (1 - confidence) / 2
+    span = means.groupBy(by).agg(F.percentile("mean", F.lit(tail)).alias("ci_low"), F.percentile("mean", F.lit(1 - tail)).alias("ci_high"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    out = moments(rows, by, value).join(span, by, "left")
+    return out.select(by, "n", *map(zero, ("mean", "median", "std", "ci_low", "ci_high")), F.lit(confidence).alias("confidence"), zero("min"), zero("max"))
+
+
+def paired_by(df: DataFrame, by: str, a: str, b: str, flips: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """(by, n, mean_difference, p_value, effect_size, significant): a two-sided sign-flip test of a - b, one added above and below.
+
+    A flip gives each difference, by its position in order, the sign() of its digest. Means are compared at
+    PLACES decimals. Where no difference exceeds NO_DIFFERENCE p is 1. Pairs with a null don't count.
+    """
+    rows = df.select(by, (F.col(a).cast("double") - F.col(b).cast("double")).alias("d"))
+    placed = _placed(rows, by, "d")
+    blocks = -(-flips // SIGNS)
+    digest = F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col("block").cast("string"), F.col("position").cast("string")))
+    hashed = placed.select(by, "d", "position", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).select(by, "d", "block", digest.alias("h"))
+    one = hashed.select(by, "d", "block", "h", F.explode(F.sequence(F.lit(0), F.lit(SIGNS - 1))).alias("k")).withColumn("flip", F.col("block") * SIGNS + F.col("k")).where(F.col("flip") < flips)
+    signed = one.select(by, "flip", (F.when(F.expr("substr(h, k + 1, 1) < '8'"), 1.0).otherwise(-1.0) * F.col("d")).alias("d")).groupBy(by, "flip").agg(F.avg("d").alias("m"))
+    size = placed.groupBy(by).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("spread"), F.max(F.abs("d")).alias("most"))
+    reach = signed.join(size, by).groupBy(by).agg(F.count(F.when(F.round(F.abs("m"), PLACES) >= F.round(F.abs("mean"), PLACES), 1)).alias("reach"))
+    none = F.col("most") <= NO_DIFFERENCE
+    p = F.when(none, 1.0).otherwise((F.col("reach") + 1) / F.lit(flips + 1))
+    out = size.join(reach, by).select(by, "n", F.when(none, 0.0).otherwise(F.col("mean")).alias("mean_difference"), p.alias("p_value"), F.when(none | (F.col("spread") == 0), 0.0).otherwise(F.col("mean") / F.col("spread")).alias("effect_size"))
+    return out.withColumn("significant", F.col("p_value") < alpha)
 
 
 def moments(df: DataFrame, by: str, value: str) -> DataFrame:

@@ -518,10 +518,25 @@ def explainer_report(spark, sf_dir):
     return r.select("explainer", "n_candidates", "n_testable", "n_faithful", F.round("displacement", 6).alias("displacement"), F.round("control_displacement", 5).alias("control_displacement"))
 
 
-@query()
+def _bootstrap_sql(rows: str) -> str:
+    """CTEs boot(grp, n, mean, ci_low, ci_high) of rows (grp, v): the draws of functions.stats with their defaults."""
+    return f"""bpl AS MATERIALIZED (SELECT grp, v, row_number() OVER (PARTITION BY grp ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM ({rows}) WHERE v IS NOT NULL),
+bdr AS (SELECT grp, s, ('0x' || substr(sha1('42:' || s::VARCHAR || ':' || i::VARCHAR), 1, 13))::BIGINT % n AS pick FROM bpl, range(0, 2000) r(s)),
+bmn AS MATERIALIZED (SELECT bdr.grp, s, avg(v) AS m FROM bdr JOIN bpl ON bpl.grp = bdr.grp AND bpl.i = pick GROUP BY 1, 2),
+boot AS (SELECT grp, n, mean, ci_low, ci_high FROM (SELECT grp, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM bmn GROUP BY 1) JOIN (SELECT grp, count(*) AS n, avg(v) AS mean FROM bpl GROUP BY 1) USING (grp))"""
+
+
+_BOOT = " SELECT grp, n, round(mean, 6) AS mean, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM boot"
+
+
+def _interval(found: DataFrame, by: str) -> DataFrame:
+    return found.select(F.col(by).alias("grp"), "n", *[F.round(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high")])
+
+
+@query(F1 + "," + _ABLATE + ", " + _bootstrap_sql("SELECT 'metapath' AS grp, displacement::DOUBLE AS v FROM res WHERE testable") + _BOOT)
 def explainer_intervals(spark, sf_dir):
-    """Bootstrap intervals of the displacement: resampled, so rows only."""
-    return ablation.report_intervals(_ablated(spark, sf_dir), seed=42)["displacement"]
+    """Bootstrap interval of the displacement over the testable cells, with the defaults of 2,000 resamples."""
+    return _interval(ablation.report_intervals(_ablated(spark, sf_dir))["displacement"], "explainer")
 
 
 # statistics -------------------------------------------------------------------------------------
@@ -566,15 +581,20 @@ def monte_carlo_p(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(s, "c_nationkey").groupBy(F.col("c_nationkey").alias("grp")).agg(stats.monte_carlo_p(F.col("v"), F.col("c_acctbal")).alias("p"))
 
 
-@query()
+@query("WITH " + _bootstrap_sql("SELECT s_nationkey AS grp, s_acctbal AS v FROM supplier") + _BOOT)
 def bootstrap(spark, sf_dir):
-    return stats.bootstrap_by(table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "grp"), "grp", "s_acctbal")
+    return _interval(stats.bootstrap_by(table(spark, sf_dir, "supplier"), "s_nationkey", "s_acctbal"), "s_nationkey")
 
 
-@query()
+@query("""WITH d AS (SELECT l_returnflag AS grp, round(avg(l_quantity), 6) - round(avg(l_extendedprice) / 1000, 6) AS d FROM lineitem GROUP BY l_returnflag, l_suppkey),
+  pl AS MATERIALIZED (SELECT grp, d, row_number() OVER (PARTITION BY grp ORDER BY d) - 1 AS i FROM d),
+  h AS MATERIALIZED (SELECT grp, d, b, sha1('42:' || b::VARCHAR || ':' || i::VARCHAR) AS h FROM pl, range(0, 250) r(b)),
+  m AS MATERIALIZED (SELECT grp, b, k, avg(CASE WHEN substr(h, k + 1, 1) < '8' THEN d ELSE -d END) AS m FROM h, range(0, 40) r(k) GROUP BY ALL),
+  s AS (SELECT grp, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS spread FROM d GROUP BY 1)
+  SELECT grp, n, round(mean, 9) AS mean_difference, round((count(*) FILTER (round(abs(m), 10) >= round(abs(mean), 10)) + 1) / 10001.0, 9) AS p_value, round(mean / spread, 6) AS effect_size FROM m JOIN s USING (grp) GROUP BY grp, n, mean, spread""")
 def paired_permutation(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("grp"), "l_suppkey").agg(F.avg("l_quantity").alias("a"), (F.avg("l_extendedprice") / 1000).alias("b"))
-    return stats.paired_by(rows, "grp", "a", "b")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("grp"), "l_suppkey").agg(F.round(F.avg("l_quantity"), 6).alias("a"), F.round(F.avg("l_extendedprice") / 1000, 6).alias("b"))
+    return stats.paired_by(rows, "grp", "a", "b").select("grp", "n", F.round("mean_difference", 9).alias("mean_difference"), F.round("p_value", 9).alias("p_value"), F.round("effect_size", 6).alias("effect_size"))
 
 
 @query(F1 + " SELECT dst AS paper_id, max(CASE WHEN rel = 'cites' THEN 2.0 ELSE 1.0 END) AS relevance FROM arcs, seed WHERE src = s AND rel IN ('cites', 'cited_by') AND dst <> s GROUP BY 1")
