@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+import tomllib
+from dataclasses import dataclass, field, replace
 from functools import cached_property
+from pathlib import Path
 from typing import Any
 
 #: The defaults of the published settings.
@@ -21,9 +23,31 @@ def _said(key: str) -> str | None:
     return os.environ.get("PROVRANK_" + key.upper().replace(".", "_"))
 
 
+def _over(base: dict[str, Any], new: dict[str, Any]) -> dict[str, Any]:
+    """base with the settings of new, section by section."""
+    return base | {k: _over(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in new.items()}
+
+
 @dataclass(frozen=True)
 class Config:
     values: dict[str, Any] = field(default_factory=lambda: DEFAULTS)
+    #: The folder that relative paths in the settings start from.
+    folder: Path = field(default_factory=Path)
+
+    @classmethod
+    def load(cls, path: str | Path) -> Config:
+        """The defaults with the settings of a TOML file; FileNotFoundError without the file."""
+        path = Path(path)
+        return cls(_over(DEFAULTS, tomllib.loads(path.read_text())), path.parent)
+
+    def with_value(self, key: str, value: Any) -> Config:
+        for part in reversed(key.split(".")):
+            value = {part: value}
+        return replace(self, values=_over(self.values, value))
+
+    def resolve(self, key: str) -> Path:
+        """A setting that is a path, from the settings' folder unless it is absolute."""
+        return self.folder / self.require(key)
 
     @cached_property
     def flat(self) -> dict[str, Any]:
