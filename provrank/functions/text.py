@@ -51,18 +51,14 @@ def short_id(uri: Column) -> Column:
 
 
 def parse_json_object(text: str | None) -> dict | None:
-    """The first JSON object among a fenced block, the whole text and its outermost braces."""
-    text = text or ""
-    _, fence, rest = text.partition("```")
-    block = rest.partition("```")[0].removeprefix("json") if fence and "```" in rest else None
-    low, high = text.find("{"), text.rfind("}")
-    for part in (block, text, text[low : high + 1] if 0 <= low < high else None):
+    """The first JSON object that stands whole in a text, whatever is around it: prose, a fence, brackets."""
+    text, decoder = text or "", json.JSONDecoder()
+    at = text.find("{")
+    while at >= 0:
         try:
-            found = json.loads(part) if part else None
+            return decoder.raw_decode(text, at)[0]
         except ValueError:
-            continue
-        if isinstance(found, dict):
-            return found
+            at = text.find("{", at + 1)
     return None
 
 
