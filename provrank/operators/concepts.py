@@ -1,41 +1,133 @@
 """Concepts of papers: field labels and keyphrases shared by two papers or more.
 
-The default keyphrase scorer is this package's own: 1- to 3-grams weighted by tf and inverse document frequency,
-near-repeats left out. It doesn't reproduce the outputs of any published extractor; pass another one to replace it.
+The default keyphrase scorer judges a text by itself: a word by how often, where, how written and beside what it
+stands, a phrase by its words, near-repeats left out. It follows the published idea of local statistics but not
+one extractor's figures; pass another one to replace it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from math import log, prod
+from statistics import fmean, median, pstdev
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from provrank.functions.text import tokens
-
-
-def grams(words: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0))), lambda i: F.array_join(F.slice(words, i, n), " ")) if n > 1 else words
-
-
-def keyphrases(papers: DataFrame, top: int = 8, max_n: int = 3, min_text: int = 20, min_phrase: int = 3) -> DataFrame:
-    """(paper_id, phrase, weight): the top phrases of each abstract; a phrase inside a better one of the same paper is left out."""
-    src = papers.where(F.length("abstract") >= min_text).select("paper_id", tokens(F.col("abstract")).alias("w"))
-    n_docs = src.count()
-    long_enough = F.filter("w", lambda x: F.length(x) >= 1)
-    src = src.select("paper_id", long_enough.alias("w")).where(F.size("w") > 0)
-    parts = [F.when(F.size("w") >= n, grams(F.col("w"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, max_n + 1)]
-    rows = src.select("paper_id", F.explode(F.concat(*parts)).alias("phrase")).where(F.length("phrase") >= min_phrase).groupBy("paper_id", "phrase").agg(F.count("*").alias("tf"))
-    df = rows.groupBy("phrase").agg(F.count("*").alias("df"))
-    size = F.size(F.split("phrase", " "))
-    scored = rows.join(df, "phrase").withColumn("score", F.round(F.log1p("tf") * F.ln(F.lit(float(n_docs) + 1) / F.col("df")) * F.sqrt(size.cast("double")), 9))
-    w = Window.partitionBy("paper_id").orderBy(F.desc("score"), "phrase")
-    best = scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 3 * top)
-    listed = best.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("rn", "phrase", "score"))).alias("all"))
-    kept = F.aggregate("all", F.array().cast("array<struct<rn:int,phrase:string,score:double>>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.contains(y["phrase"], x["phrase"]) | F.contains(x["phrase"], y["phrase"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return listed.select("paper_id", F.explode(F.slice(kept, 1, top)).alias("k")).select("paper_id", "k.phrase", (F.col("k.score") / (1 + F.col("k.score"))).alias("weight"))
+
+
+_SENTENCE = re.compile(r"[.!?\n\r]+")
+_TERM = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+#: Shorter words hold phrases together but say nothing by themselves.
+_SHORT = 3
+
+
+@dataclass
+class _Term:
+    """What one text says about a word: how often, how written, in which sentences, beside what."""
+
+    count: int = 0
+    capital: int = 0
+    upper: int = 0
+    sentences: list[int] = field(default_factory=list)
+    left: Counter[str] = field(default_factory=Counter)
+    right: Counter[str] = field(default_factory=Counter)
+
+
+def _terms(sentences: list[list[str]]) -> dict[str, _Term]:
+    found: dict[str, _Term] = {}
+    for k, words in enumerate(sentences):
+        low = [w.lower() for w in words]
+        for i, w in enumerate(words):
+            t = found.setdefault(low[i], _Term())
+            t.count += 1
+            t.upper += len(w) > 1 and w.isupper()
+            t.capital += i > 0 and w[0].isupper()
+            if not t.sentences or t.sentences[-1] != k:
+                t.sentences.append(k)
+            if i:
+                t.left[low[i - 1]] += 1
+            if i + 1 < len(low):
+                t.right[low[i + 1]] += 1
+    return found
+
+
+def _informs(word: str) -> bool:
+    return len(word) >= _SHORT and not word.isdigit()
+
+
+def term_scores(sentences: list[list[str]]) -> dict[str, float]:
+    """A score for each word of a text, low where it matters: often, early, in many sentences, capitalised, beside few other words."""
+    terms = _terms(sentences)
+    counts = [t.count for w, t in terms.items() if _informs(w)]
+    if not counts:
+        return {}
+    usual, most = fmean(counts) + pstdev(counts), max(t.count for t in terms.values())
+    out = {}
+    for w, t in terms.items():
+        spread = sum(len(side) / side.total() for side in (t.left, t.right) if side)  # 1 for each side that never repeats
+        bond = 1 + spread * t.count / most
+        place = log(log(3 + median(t.sentences)) + 1)
+        case = max(t.capital, t.upper) / (1 + log(t.count))
+        out[w] = bond * place / (case + t.count / usual / bond + len(t.sentences) / len(sentences) / bond)
+    return out
+
+
+def phrase_scores(text: str, max_n: int = 3, min_phrase: int = 3) -> list[tuple[float, str]]:
+    """(score, phrase) of all phrases of a text, best first: runs of up to max_n words of a sentence that begin and end with a word that informs."""
+    sentences = [words for s in _SENTENCE.split(text) if (words := _TERM.findall(s))]
+    scores = term_scores(sentences)
+    seen = Counter(tuple(w.lower() for w in words[i : i + n]) for words in sentences for n in range(1, max_n + 1) for i in range(len(words) - n + 1))
+    ranked = []
+    for words, count in seen.items():
+        if _informs(words[0]) and _informs(words[-1]):
+            own = [scores[w] for w in words if _informs(w)]
+            phrase = " ".join(words)
+            if len(phrase) >= min_phrase:
+                ranked.append((round(prod(own) / (count * (1 + sum(own))), 12), phrase))
+    return sorted(ranked)
+
+
+def similarity(a: str, b: str) -> float:
+    """1 less the edit distance in shares of the longer text."""
+    if len(a) < len(b):
+        a, b = b, a
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return 1 - row[-1] / max(1, len(a))
+
+
+def text_keyphrases(text: str, top: int = 8, max_n: int = 3, min_phrase: int = 3, alike: float = 0.85) -> list[tuple[str, float]]:
+    """The top phrases and their scores; a phrase that is alike to a better one is passed over, down the whole ranking."""
+    kept: list[tuple[str, float]] = []
+    for score, phrase in phrase_scores(text, max_n, min_phrase):
+        if len(kept) == top:
+            break
+        near = (k for k, _ in kept if min(len(k), len(phrase)) > alike * max(len(k), len(phrase)))
+        if not any(similarity(phrase, k) > alike for k in near):
+            kept.append((phrase, score))
+    return kept
+
+
+def keyphrases(papers: DataFrame, top: int = 8, max_n: int = 3, min_text: int = 20, min_phrase: int = 3, alike: float = 0.85) -> DataFrame:
+    """(paper_id, phrase, weight): the top phrases of each abstract of min_text characters or more; weight is 1 / (1 + score).
+
+    A text is judged by itself, so nothing is shuffled.
+    """
+
+    def batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, k, 1 / (1 + s)) for p, t in zip(pdf.paper_id, pdf.abstract, strict=True) for k, s in text_keyphrases(t, top, max_n, min_phrase, alike)]
+            yield pd.DataFrame(rows, columns=["paper_id", "phrase", "weight"])
+
+    long_enough = papers.where(F.length("abstract") >= min_text).select(F.col("paper_id").cast("string").alias("paper_id"), "abstract")
+    return long_enough.mapInPandas(batch, "paper_id string, phrase string, weight double")
 
 
 def concept_edges(fields: DataFrame, phrases: DataFrame, slug: Callable[[Column], Column], min_papers: int = 2) -> tuple[DataFrame, DataFrame]:
