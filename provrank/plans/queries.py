@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provrank.functions import stats, text
-from provrank.operators import ablation, concepts, flow, graph, metapaths, prereq, retrieval, upsert
+from provrank.operators import ablation, concepts, flow, graph, metapaths, prereq, retrieval, scc, upsert
 from provrank.plans.oracle import BM25, F1, F2, SEED_START, ppr
 from provrank.schema import with_edge_ids
 from provrank.sources import fixtures
@@ -774,12 +774,16 @@ def tree_members(spark, sf_dir):
 
 @query()
 def cycles_cut(spark, sf_dir):
-    """For each supplier's nation the part-to-part edges of its lines, weakest edge of each cycle dropped; tests compare it with a plain version."""
-    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    name = lambda c: F.concat(F.lit("n"), (F.col(c) % 12).cast("string"))
-    e = li.groupBy(F.col("s_nationkey").cast("string").alias("nation"), name("l_orderkey").alias("prereq"), name("l_partkey").alias("dependent")).agg(F.sum("l_quantity").alias("weight"))
-    e = e.where("prereq != dependent").select("nation", "prereq", "dependent", F.lit("citation").alias("reason"), "weight", F.lit("").alias("detail"))
-    return prereq.break_cycles(e, by="nation").select("nation", "prereq", "dependent", "weight", "dropped")
+    """Edges from each part to the next one of its brand in an order, the weakest edge of each cycle dropped; tests compare it with a plain version."""
+    from pyspark.sql.window import Window
+
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    w = Window.partitionBy("l_orderkey", "p_brand").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_quantity")
+    name = lambda c: F.concat(F.lit("n"), F.lpad(F.col(c).cast("string"), 10, "0"))
+    pairs = li.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b"), "l_quantity").where("b is not null")
+    e = pairs.groupBy(name("a").alias("prereq"), name("b").alias("dependent")).agg(F.sum("l_quantity").alias("weight"))
+    e = e.select("prereq", "dependent", F.lit("citation").alias("reason"), "weight", F.lit("").alias("detail"))
+    return scc.cut_cycles(materialize(e, "edges")).select("prereq", "dependent", "weight", "dropped")
 
 
 @query("SELECT event_id FROM events WHERE json_valid(raw) AND json_type(raw) = 'OBJECT'".replace("FROM events", "FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'broken' || props WHEN event_id % 7 = 1 THEN '[1, 2]' ELSE props END AS raw FROM events)"))

@@ -48,26 +48,6 @@ def test_canonical_edges_take_all_papers(spark, small, db):
     assert len(QUERIES["cache_misses"](spark, small).toPandas()) > 0
 
 
-def test_cycles_cut_matches_a_plain_version(spark, small):
-    rows = QUERIES["cycles_cut"](spark, small).collect()
-    assert any(r.dropped for r in rows) and not all(r.dropped for r in rows)
-    for nation in {r.nation for r in rows}:
-        live = {(r.prereq, r.dependent) for r in rows if r.nation == nation and not r.dropped}
-        weight = {(r.prereq, r.dependent): r.weight for r in rows if r.nation == nation}
-        left = set(live)
-        while ends := {e for e in left if e[1] not in {a for a, _ in left}}:
-            left -= ends
-        assert not left  # acyclic
-        for r in (r for r in rows if r.nation == nation and r.dropped):  # a dropped edge closes a path, none of it lighter when it went
-            seen, todo = set(), [r.dependent]
-            while todo:
-                n = todo.pop()
-                if n not in seen:
-                    seen.add(n)
-                    todo += [b for a, b in weight if a == n]
-            assert r.prereq in seen
-
-
 def test_a_broken_subpackage_is_an_error(monkeypatch):
     assert entry._optional("no_such_module") is None
     monkeypatch.setattr(entry, "import_module", lambda name: (_ for _ in ()).throw(ModuleNotFoundError("x", name="xxhash")))
