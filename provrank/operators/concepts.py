@@ -8,11 +8,11 @@ one extractor's figures; pass another one to replace it.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from math import log, prod
-from statistics import fmean, median, pstdev
+from heapq import heapify, heappop
+from math import log
+from statistics import fmean, pstdev
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,70 +25,102 @@ _TERM = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _SHORT = 3
 
 
-@dataclass
+@dataclass(slots=True)
 class _Term:
     """What one text says about a word: how often, how written, in which sentences, beside what."""
 
+    name: str = ""
     count: int = 0
     capital: int = 0
     upper: int = 0
     sentences: list[int] = field(default_factory=list)
-    left: Counter[str] = field(default_factory=Counter)
-    right: Counter[str] = field(default_factory=Counter)
+    left: set[str] = field(default_factory=set)
+    n_left: int = 0
+    right: set[str] = field(default_factory=set)
+    n_right: int = 0
 
 
-def _terms(sentences: list[list[str]]) -> dict[str, _Term]:
+def _informs(word: str) -> bool:
+    return len(word) >= _SHORT and not word.isdigit()
+
+
+def _terms(sentences: list[list[str]], lowered: list[list[str]]) -> dict[str, _Term]:
     found: dict[str, _Term] = {}
-    for k, words in enumerate(sentences):
-        low = [w.lower() for w in words]
-        for i, w in enumerate(words):
-            t = found.setdefault(low[i], _Term())
+    for k, (words, low) in enumerate(zip(sentences, lowered, strict=True)):
+        before = None
+        for w, name in zip(words, low, strict=True):
+            t = found.get(name)
+            if t is None:
+                t = found[name] = _Term()
             t.count += 1
-            t.upper += len(w) > 1 and w.isupper()
-            t.capital += i > 0 and w[0].isupper()
+            if w is not name and w != name:
+                if len(w) > 1 and w.isupper():
+                    t.upper += 1
+                if before is not None and w[0].isupper():
+                    t.capital += 1
             if not t.sentences or t.sentences[-1] != k:
                 t.sentences.append(k)
-            if i:
-                t.left[low[i - 1]] += 1
-            if i + 1 < len(low):
-                t.right[low[i + 1]] += 1
+            if before is not None:
+                t.left.add(before.name)
+                t.n_left += 1
+                before.right.add(name)
+                before.n_right += 1
+            t.name = name
+            before = t
     return found
 
 
-def _informs(word: str) -> bool:
-    return len(word) >= _SHORT and not word.isdigit()
-
-
-def term_scores(sentences: list[list[str]]) -> dict[str, float]:
-    """A score for each word of a text, low where it matters: often, early, in many sentences, capitalised, beside few other words."""
-    terms = _terms(sentences)
+def _scores(terms: dict[str, _Term], n_sentences: int) -> dict[str, float]:
     counts = [t.count for w, t in terms.items() if _informs(w)]
     if not counts:
         return {}
     usual, most = fmean(counts) + pstdev(counts), max(t.count for t in terms.values())
     out = {}
     for w, t in terms.items():
-        spread = sum(len(side) / side.total() for side in (t.left, t.right) if side)  # 1 for each side that never repeats
+        spread = (len(t.left) / t.n_left if t.n_left else 0) + (len(t.right) / t.n_right if t.n_right else 0)  # 1 for each side that never repeats
         bond = 1 + spread * t.count / most
-        place = log(log(3 + median(t.sentences)) + 1)
+        seen = t.sentences
+        middle = (seen[(len(seen) - 1) // 2] + seen[len(seen) // 2]) / 2
         case = max(t.capital, t.upper) / (1 + log(t.count))
-        out[w] = bond * place / (case + t.count / usual / bond + len(t.sentences) / len(sentences) / bond)
+        out[w] = bond * log(log(3 + middle) + 1) / (case + (t.count / usual + len(seen) / n_sentences) / bond)
     return out
 
 
-def phrase_scores(text: str, max_n: int = 3, min_phrase: int = 3) -> list[tuple[float, str]]:
-    """(score, phrase) of all phrases of a text, best first: runs of up to max_n words of a sentence that begin and end with a word that informs."""
+def term_scores(sentences: list[list[str]]) -> dict[str, float]:
+    """A score for each word of a text, low where it matters: often, early, in many sentences, capitalised, beside few other words."""
+    return _scores(_terms(sentences, [[w.lower() for w in words] for words in sentences]), len(sentences))
+
+
+def _phrases(text: str, max_n: int, min_phrase: int) -> list[tuple[float, str]]:
     sentences = [words for s in _SENTENCE.split(text) if (words := _TERM.findall(s))]
-    scores = term_scores(sentences)
-    seen = Counter(tuple(w.lower() for w in words[i : i + n]) for words in sentences for n in range(1, max_n + 1) for i in range(len(words) - n + 1))
+    lowered = [[w.lower() for w in words] for words in sentences]
+    scores = _scores(_terms(sentences, lowered), len(sentences))
+    good = {w for w in scores if _informs(w)}
+    seen: dict[str, int] = {}
+    for low in lowered:
+        ok = [w in good for w in low]
+        for i, w in enumerate(low):
+            if ok[i]:
+                seen[w] = seen.get(w, 0) + 1
+                for j in range(i + 1, min(i + max_n, len(low))):
+                    if ok[j]:
+                        phrase = " ".join(low[i : j + 1])
+                        seen[phrase] = seen.get(phrase, 0) + 1
     ranked = []
-    for words, count in seen.items():
-        if _informs(words[0]) and _informs(words[-1]):
-            own = [scores[w] for w in words if _informs(w)]
-            phrase = " ".join(words)
-            if len(phrase) >= min_phrase:
-                ranked.append((round(prod(own) / (count * (1 + sum(own))), 12), phrase))
-    return sorted(ranked)
+    for phrase, count in seen.items():
+        if len(phrase) >= min_phrase:
+            total, product = 1.0, 1.0
+            for w in phrase.split(" "):
+                if w in good:
+                    total += scores[w]
+                    product *= scores[w]
+            ranked.append((product / (count * total), phrase))
+    return ranked
+
+
+def phrase_scores(text: str, max_n: int = 3, min_phrase: int = 3) -> list[tuple[float, str]]:
+    """(score, phrase) of all phrases of a text, best first: runs of up to max_n words of a sentence that begin and end with a word that informs."""
+    return sorted(_phrases(text, max_n, min_phrase))
 
 
 def similarity(a: str, b: str) -> float:
@@ -106,9 +138,10 @@ def similarity(a: str, b: str) -> float:
 def text_keyphrases(text: str, top: int = 8, max_n: int = 3, min_phrase: int = 3, alike: float = 0.85) -> list[tuple[str, float]]:
     """The top phrases and their scores; a phrase that is alike to a better one is passed over, down the whole ranking."""
     kept: list[tuple[str, float]] = []
-    for score, phrase in phrase_scores(text, max_n, min_phrase):
-        if len(kept) == top:
-            break
+    ranked = _phrases(text, max_n, min_phrase)
+    heapify(ranked)
+    while ranked and len(kept) < top:
+        score, phrase = heappop(ranked)
         near = (k for k, _ in kept if min(len(k), len(phrase)) > alike * max(len(k), len(phrase)))
         if not any(similarity(phrase, k) > alike for k in near):
             kept.append((phrase, score))
