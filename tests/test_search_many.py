@@ -54,25 +54,24 @@ def test_a_search_reads_the_buckets_of_its_words(spark, corpus, tmp_path):
     assert "dynamicpruning" in found._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
-@pytest.mark.parametrize("hub_arcs", [100_000, 3])
-def test_pagerank_for_many_seeds_equals_one_at_a_time(spark, corpus, hub_arcs):
+def test_pagerank_for_many_seeds_equals_one_at_a_time(spark, corpus):
+    hub_arcs = 3  # test_search_equals_one_query_at_a_time splits none
     _, nodes, arcs = corpus
     starts = {"a": {"p1": 1.0}, "b": {"p2": 0.25, "p7": 0.75}, "c": {"p3": 1.0}}  # p3 has no arc: its mass dangles
     rows = [(q, p, v) for q, own in starts.items() for p, v in own.items()]
-    many = search_many.rank(arcs, spark.createDataFrame(rows, "query string, node_id string, v double"), tol=1e-3, hub_arcs=hub_arcs)
+    many = search_many.rank(arcs, spark.createDataFrame(rows, "query string, node_id string, v double"), tol=1e-2, hub_arcs=hub_arcs)
     got = {(r.query, r.node_id): r.x for r in many.scores.collect()}
     runs = {r.query: r for r in many.runs.collect()}
     for q, own in starts.items():
         seeds = spark.createDataFrame(list(own.items()), "node_id string, weight double")
-        alone = flow.rank(arcs, flow.personalization(nodes, seeds), tol=1e-3)
+        alone = flow.rank(arcs, flow.personalization(nodes, seeds), tol=1e-2)
         assert runs[q].iterations == alone.iterations and runs[q].converged == alone.converged
         for r in alone.scores.collect():
             assert got.get((q, r.node_id), 0.0) == pytest.approx(r.x, abs=1e-12)
         assert sum(x for (k, _), x in got.items() if k == q) == pytest.approx(1.0)
     assert len({r.iterations for r in runs.values()}) > 1  # some left the loop before others
-    if hub_arcs == 3:
-        shares, hubs = search_many.split_hubs(arcs, 3)
-        assert {r.src: r.salts for r in hubs.collect()}["venue:hub"] == 3 and shares.where("src = 'venue:hub'").select("salt").distinct().count() > 1
+    shares, hubs = search_many.split_hubs(arcs, hub_arcs)
+    assert {r.src: r.salts for r in hubs.collect()}["venue:hub"] == 3 and shares.where("src = 'venue:hub'").select("salt").distinct().count() > 1
 
 
 def test_search_equals_one_query_at_a_time(spark, corpus):
@@ -81,8 +80,8 @@ def test_search_equals_one_query_at_a_time(spark, corpus):
     queries = spark.createDataFrame([("p1", None), ("p5", None), ("q", "flows of pipes")], "query string, text string")
     options = {"top_k": 4, "pool_size": 5, "max_iter": 3, "tol": 0}
     index = lexical.build(papers)
-    with_vectors = search_many.search(papers, nodes, arcs, index, queries.where("text is null"), vectors, **options).collect()
-    without = search_many.search(papers, nodes, arcs, index, queries, modes=("bm25-only", "rrf+ppr"), **options).collect()
+    with_vectors = search_many.search(papers, nodes, arcs, index, queries.where("query = 'p1'"), vectors, **options).collect()
+    without = search_many.search(papers, nodes, arcs, index, queries.where("query != 'p1'"), modes=("bm25-only", "rrf+ppr"), **options).collect()
     text = {"q": "flows of pipes"}
     for found, vec, modes in ((with_vectors, vectors, retrieval.SIGNALS), (without, None, ("bm25-only", "rrf+ppr"))):
         for q in {r.query for r in found}:
