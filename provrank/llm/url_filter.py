@@ -1,8 +1,8 @@
 """URL filters: a trie over reversed host labels, then path segments, with longest-match precedence.
 
 A rule is ``host/path``. It fits its host and all subdomains where the url's path starts with the
-rule's path. Of the rules that fit, the longest string wins; where block and allow name the same
-rule, block wins. A url that no rule fits gets the default verdict.
+rule's path. Of the rules that fit, the longest string wins, of equally long ones that with fewer host
+labels; where block and allow name the same rule, block wins. A url that no rule fits gets the default verdict.
 """
 
 from __future__ import annotations

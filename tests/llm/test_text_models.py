@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from provrank.llm import lang_id, quality
 
@@ -61,3 +62,49 @@ def test_isotonic_never_falls():
     y = (x + np.random.default_rng(1).normal(size=300) > 0).astype(float)
     knots, levels = quality.isotonic(x, y)
     assert (np.diff(knots) > 0).all() and (np.diff(levels) > 0).all()
+
+
+def test_ridge_weights_equal_plain_normal_equations(spark):
+    """Standardisation and weights from partition sums against one matrix of all fitting rows."""
+    r = random.Random(4)
+    rows = [(i, text(r, ("en", "de", "xx")[i % 3], r.randint(1, 80)) + "!" * (i % 3), int(i % 3 != 2)) for i in range(240)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"), features=32)
+    x = np.stack([quality.statistics(t) for _, t, _ in rows])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.where(x.std(0) < 1e-9, 1, x.std(0)), rtol=1e-6)
+    order = {q.doc_id: q.h for q in docs.select("doc_id", F.xxhash64(F.lit(7), "doc_id").alias("h")).collect()}
+    fitting = np.array([abs(order[i]) % 4 != 0 for i, _, _ in rows])
+    s = np.clip((x - model.mean) / model.scale, -6, 6)
+    z = np.hstack([np.sqrt(2 / 32) * np.cos(s @ model.freq + model.phase), s, np.ones((len(s), 1))])
+    y = np.array([float(q) for _, _, q in rows])
+    zf, yf = z[fitting], y[fitting]
+    plain = np.linalg.lstsq(np.vstack([zf, np.sqrt(1e-3 * len(zf) / 100) * np.eye(z.shape[1])]), np.append(yf, np.zeros(z.shape[1])), rcond=None)[0]
+    assert np.allclose(z @ model.weights, z @ plain, atol=1e-6)
+
+
+def test_features_approximate_the_gaussian_kernel():
+    r = np.random.default_rng(6)
+    n, width = 4096, 3.0
+    model = quality.QualityModel(np.zeros(quality.N_STATS), np.ones(quality.N_STATS), r.normal(size=(quality.N_STATS, n)) / width, r.uniform(0, 2 * np.pi, n), np.zeros(0), np.zeros(1), np.zeros(1))
+    x = r.normal(size=(30, quality.N_STATS))
+    z = model.lift(x)[:, :n]
+    gaps = ((x[:, None] - x[None]) ** 2).sum(-1)
+    assert np.abs(z @ z.T - np.exp(-gaps / (2 * width**2))).max() < 0.1
+
+
+def test_held_out_documents_of_the_tables(spark):
+    """Languages and quality of documents that the fits didn't see, by the queries themselves."""
+    from provrank.llm.queries import queries
+
+    sf = "/root/testdata/sf0.01"
+    of = {name.split("_")[0]: q for name, q in queries().items()}
+    lang = of["op5"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    right = [(x.lang_pred == x.lang) for x in lang.where("held_out and lang is not null and lang_pred != 'und'").collect()]
+    assert len(right) > 100 and sum(right) / len(right) >= 0.98
+    quality_of = of["op7"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id")
+    held = [(x.score, x.quality, x.predicted) for x in quality_of.where("held_out and quality is not null").collect()]
+    good, bad = ([s for s, q, _ in held if q == k] for k in (1, 0))
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    accuracy = np.mean([p == q for _, q, p in held])
+    print(len(right), sum(right), len(held), auc, accuracy)
+    assert auc >= 0.98 and accuracy >= 0.95

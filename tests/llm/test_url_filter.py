@@ -19,6 +19,17 @@ def test_partial_last_segment_and_equal_rules():
     assert t.match("b.org", "/") == ("b.org/", "block")
 
 
+def test_of_equally_long_rules_the_one_with_fewer_host_labels_wins():
+    for block, allow in ((["b.com/"], ["com/ab"]), (["com/ab"], ["b.com/"])):
+        assert RuleTrie(block, allow).match("b.com", "/abc") == ("com/ab", "allow" if "com/ab" in allow else "block")
+
+
+def test_very_long_urls():
+    t = RuleTrie(block=["net/" + "x/" * 5000])
+    assert t.match("a." * 20_000 + "net", "/" + "x/" * 5000 + "y")[1] == "block"
+    assert t.match("a.net", "/" + "x/" * 4999)[1] == "allow"
+
+
 def test_against_brute_force():
     import random
 
