@@ -44,3 +44,21 @@ def test_stages_keep_the_columns(spark, small):
         empty = stage(spark, docs.limit(0), small)
         assert empty.count() == 0
     assert decontam.SHARD > 0
+
+
+def test_stages_with_nulls_repeats_and_long_texts(spark, small):
+    """Line dedup, near-dedup, decontamination and tokens over odd rows, nulls in every column."""
+    schema = spark.read.parquet(f"{small}/documents.parquet").schema.add("class_id", "string")
+    texts = {1: None, 2: "", 3: "one two three four five six seven", 4: "one two three four five six seven", 5: "word " * 30_000, 6: "!!! \n\n"}
+    of = lambda i, t: tuple({"doc_id": i, "text": t}.get(f.name) for f in schema)
+    docs = spark.createDataFrame([of(i, t) for i, t in [*texts.items(), (5, texts[5]), (None, "no id at all")]], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    lines = stages["line_dedup"](spark, docs, small)
+    near = stages["near_dedup"](spark, docs, small)
+    clean = stages["decontamination"](spark, docs, small)
+    ids = lambda df: sorted(r.doc_id or 0 for r in df.select("doc_id").collect())
+    assert lines.columns == near.columns == clean.columns == docs.columns
+    assert {r.doc_id: r.text for r in lines.where("doc_id is not null").collect()} == texts
+    assert ids(lines) == ids(clean) == [0, 1, 2, 3, 4, 5, 5, 6] and ids(near) == [0, 1, 2, 3, 5, 6]
+    n = {r.doc_id: r.n_tokens for r in stages["sentencepiece"](spark, docs, small).collect()}
+    assert n[1] == n[2] == 2 and n[5] >= 30_000
