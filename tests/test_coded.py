@@ -41,3 +41,20 @@ def test_ranking_takes_numbers_and_writes_no_flows_unless_asked(spark):
     assert bare.flows is None and with_flows.flows.count() == 12
     want, got = ({r.node_id: r.x for r in f.scores.collect()} for f in (with_flows, bare))
     assert set(got) == set(range(6)) and all(abs(got[n] - want[n]) < 1e-15 for n in got) and abs(sum(got.values()) - 1) < 1e-12
+
+
+def test_edge_digest_is_made_in_tasks(spark):
+    from hashlib import sha256
+
+    ids = [f"e{i:016x}" for i in range(2000)]
+    edges = spark.createDataFrame([(e,) for e in [*ids[::-1], *ids[:50]]], "edge_id string").repartition(7)
+    found = graph.edge_digest(edges)  # rows of a DataFrame: no id has come to the driver
+    assert found.collect()[0].digest == sha256("".join(ids).encode()).hexdigest()[:16]
+
+
+def test_draws_are_never_sent_to_the_driver(spark):
+    from provrank.functions import stats
+
+    rows = spark.createDataFrame([(i % 3, float(i)) for i in range(60)], "g long, v double")
+    plan = stats.bootstrap_by(rows, "g", "v", samples=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
