@@ -137,3 +137,18 @@ def test_resampling_by_columns_equals_the_plain_draws(spark):
     assert found["c"]["significant"] and found["b"]["p_value"] == 1.0
     many = [stats.draw(42, s, 3, 7) for s in range(7000)]
     assert all(850 < many.count(k) < 1150 for k in range(7)) and 4800 < sum(stats.sign(1, f, 0) > 0 for f in range(10_000)) < 5200
+
+
+def test_equal_words_in_any_order_score_alike(spark):
+    """Scores of copies tie exactly, however their words were summed."""
+    import random
+
+    words = [f"w{i}" * (i % 5 + 1) for i in range(60)]
+    rng = random.Random(4)
+    copies = [(f"c{i:03d}", "", " ".join(rng.sample(words, 60))) for i in range(150)]
+    others = [(f"o{i:03d}", "", " ".join(words[: i % 60 : 2])) for i in range(240)]
+    papers = spark.createDataFrame(copies + others, "paper_id string, title string, abstract string")
+    text = ". " + " ".join(words + words[::3])
+    assert retrieval.bm25(papers.repartition(7), text).where("paper_id like 'c%'").select("bm25").distinct().count() == 1
+    index = lexical.build(papers.repartition(7))
+    assert lexical.score(index, spark.createDataFrame([("q", text)], "query string, text string")).where("paper_id like 'c%'").select("bm25").distinct().count() == 1
