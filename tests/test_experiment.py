@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from provrank import explainers
 from provrank.functions import stats
-from provrank.operators import ablation, graph, metapaths, prereq, retrieval
+from provrank.operators import ablation, flow, graph, metapaths, prereq, retrieval
 from provrank.schema import check_vocabulary, with_edge_ids
 from provrank.storage import materialize
 
@@ -131,3 +131,17 @@ def test_statistics():
     assert stats.paired_permutation([5.0] * 12, [1.0] * 12)["significant"]
     with pytest.raises(ValueError):
         stats.paired_permutation([1], [1, 2])
+
+
+def test_places_made_in_tasks_equal_those_of_whole_scores(spark, corpus):
+    nodes, papers, edges, arcs = corpus
+    ids = [r.edge_id for r in edges.orderBy("edge_id").collect()]
+    variants = spark.createDataFrame([("a", "without", [], ["NEAR", "FAR", "gone"]), ("b", "without", ids[:3], ["NEAR"]), ("c", "only", ids[3:9], ["FAR", "NEAR"])], "variant string, mode string, edges array<string>, papers array<string>")
+    start = flow.personalization(nodes, spark.createDataFrame([("SEED",)], "node_id string"))
+    lexical = papers.select("paper_id", (1.0 / (60 + F.col("citation_count"))).alias("rrf"))
+    scores = flow.rank_variants(nodes, arcs, variants.drop("papers"), start, max_iter=4, tol=0)
+    keyed = flow.rank_variants(nodes, arcs, variants.drop("papers"), start, max_iter=4, tol=0, max_arcs=3)
+    wanted = variants.select("variant", F.explode("papers").alias("paper_id"))
+    expect = {tuple(r) for r in ablation.corpus_ranks(scores, lexical, "SEED", wanted).join(wanted, ["variant", "paper_id"], "left_semi").select("variant", "paper_id", "position").collect()}
+    assert expect == {tuple(r) for r in ablation.corpus_ranks(keyed, lexical, "SEED", wanted).join(wanted, ["variant", "paper_id"], "left_semi").select("variant", "paper_id", "position").collect()}
+    assert {tuple(r) for r in flow.place_variants(nodes, arcs, variants, start, lexical, "SEED", ablation._fused, max_iter=4, tol=0).collect()} == expect and len(expect) == 5
