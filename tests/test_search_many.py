@@ -152,3 +152,27 @@ def test_equal_words_in_any_order_score_alike(spark):
     assert retrieval.bm25(papers.repartition(7), text).where("paper_id like 'c%'").select("bm25").distinct().count() == 1
     index = lexical.build(papers.repartition(7))
     assert lexical.score(index, spark.createDataFrame([("q", text)], "query string, text string")).where("paper_id like 'c%'").select("bm25").distinct().count() == 1
+
+
+def test_ranking_in_tasks_equals_the_dataflow(spark, corpus):
+    _, nodes, arcs = corpus
+    rows = [("a", "p1", 1.0), ("b", "p2", 0.25), ("b", "p7", 0.75), ("c", "p3", 1.0)]  # p3 has no arc: its mass dangles
+    start = spark.createDataFrame(rows, "query string, node_id string, v double")
+    for options in ({"max_iter": 60, "tol": 1e-10, "alpha": 0.5}, {"max_iter": 5, "tol": 0}):
+        one, other = search_many.rank(arcs, start, **options), search_many.rank_in_tasks(arcs, start, **options)
+        want = {(r.query, r.node_id): r.x for r in one.scores.collect()}
+        got = {(r.query, r.node_id): r.x for r in other.scores.collect()}
+        assert set(got) == set(want) and all(x == pytest.approx(want[k], abs=1e-14) for k, x in got.items())
+        ended = lambda found: {r.query: (r.iterations, r.converged) for r in found.runs.collect()}
+        assert ended(other) == ended(one)
+
+
+def test_a_search_over_a_small_graph_ranks_it_in_tasks(spark, corpus, monkeypatch):
+    papers, nodes, arcs = corpus
+
+    def refuse(*_, **__):
+        raise AssertionError("ranked by a dataflow of queries times arcs")
+
+    monkeypatch.setattr(search_many, "rank", refuse)
+    found = search_many.search(papers, nodes, arcs, lexical.build(papers), spark.createDataFrame([("q", "graphs")], "query string, text string"), modes=("rrf+ppr",), max_iter=3, tol=0)
+    assert found.count() == 8
