@@ -1,9 +1,12 @@
 """The stored index, keyed PageRank and the search for many queries against plain versions and the one-query operators."""
 
 import math
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from provrank.operators import flow, graph, lexical, retrieval, search_many
 from provrank.schema import with_edge_ids
@@ -176,3 +179,22 @@ def test_a_search_over_a_small_graph_ranks_it_in_tasks(spark, corpus, monkeypatc
     monkeypatch.setattr(search_many, "rank", refuse)
     found = search_many.search(papers, nodes, arcs, lexical.build(papers), spark.createDataFrame([("q", "graphs")], "query string, text string"), modes=("rrf+ppr",), max_iter=3, tol=0)
     assert found.count() == 8
+
+
+@pytest.mark.parametrize("max_words", [lexical.MAX_WORDS, 40])
+def test_the_best_papers_are_found_without_a_row_for_each_pair(spark, max_words, monkeypatch):
+    monkeypatch.setattr(lexical, "score", None)  # which makes a row for each query and paper
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefghij") * r.choice((1, 2)) for _ in range(r.randrange(0, 9))) for _ in range(60)]
+    texts += texts[:20]  # ties
+    papers = spark.createDataFrame([(f"p{i:02}", "", t) for i, t in enumerate(texts)], "paper_id string, title string, abstract string")
+    index = lexical.build(papers)
+    queries = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate([*texts[:25], "none of them", ""])], "query string, text string")
+    monkeypatch.undo()
+    w = Window.partitionBy("query").orderBy(F.round("bm25", 9).desc(), "paper_id")
+    rows = lexical.score(index, queries).withColumn("position", F.row_number().over(w)).where("position <= 4").collect()
+    want = {(x.query, x.position): (x.paper_id, round(x.bm25, 9)) for x in rows}
+    monkeypatch.setattr(lexical, "score", None)
+    monkeypatch.setattr(lexical, "CELLS", 100)
+    found = lexical.top(index, queries, 4, max_words=max_words).collect()
+    assert {(x.query, x.position): (x.paper_id, round(x.bm25, 9)) for x in found} == want and len(found) == len(want) > 60
