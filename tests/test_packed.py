@@ -41,3 +41,14 @@ def test_many_seeds_walk_at_once(spark, corpus, monkeypatch):
     got = {(r.query, r.node_id): r.x for r in found.scores.collect()}
     assert set(got) == set(want) and all(x == pytest.approx(want[k], abs=1e-14) for k, x in got.items())
     assert found.runs.where(F.col("converged")).count() == 3
+
+
+def test_explained_cells_list_only_the_arcs_at_their_ends(spark, small, monkeypatch):
+    from provrank.plans import queries
+
+    given, paths = [], queries.metapaths.paths
+    monkeypatch.setattr(queries.metapaths, "paths", lambda pairs, arcs, *more: given.append((pairs, arcs)) or paths(pairs, arcs, *more))
+    assert queries.QUERIES["control_sample"](spark, small).count() > 0
+    pairs, arcs = given[0]
+    ends = {x for r in pairs.collect() for x in r}
+    assert all(r.src in ends or r.dst in ends for r in arcs.select("src", "dst").collect())
